@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .media import media_features
 from .sharding import assign_shards
+from .simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +20,20 @@ def op1_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an MPEG transport stream, read back."""
     return media_features(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets", "cc_errors")
 
 
-QUERIES: dict[str, Query] = {"op1_bounded_ring_shards": op1_bounded_ring_shards, "op9_transport_stream": op9_transport_stream}
+QUERIES: dict[str, Query] = {
+    "op1_bounded_ring_shards": op1_bounded_ring_shards,
+    "op2_simhash_covering": op2_simhash_covering,
+    "op9_transport_stream": op9_transport_stream,
+}
 
 ORACLE_SQL: dict[str, str] = {}
