@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import contamination_report
 from .media import media_features
 from .sharding import assign_shards
 from .simhash import near_duplicates
@@ -30,10 +31,16 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets", "cc_errors")
 
 
+def op10_prefix_filtered_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a benchmark window, and the items found."""
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bounded_ring_shards": op1_bounded_ring_shards,
     "op2_simhash_covering": op2_simhash_covering,
     "op9_transport_stream": op9_transport_stream,
+    "op10_prefix_filtered_leaks": op10_prefix_filtered_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
