@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID = 0x1000, 0x0101
 #: Samples are bytes; units of 192 at 8000 a second last 2160 ticks of the 90 kHz clock.
@@ -183,11 +185,12 @@ _ARROW = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("pa
 
 def to_media(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        out = []
-        for x in batch:
-            data = (x.as_py() or "").encode()
-            out.append(mux(pad(data), len(data)))
-        yield pa.array(out, pa.binary())
+        for piece in slices(batch):
+            out = []
+            for x in piece:
+                data = (x.as_py() or "").encode()
+                out.append(mux(pad(data), len(data)))
+            yield pa.array(out, pa.binary())
 
 
 def parse_media(streams: Iterator[pa.Array]) -> Iterator[pa.Array]:
