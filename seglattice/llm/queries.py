@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import token_digests
 from .common import table
 from .decontam import contamination_report
 from .media import media_features
 from .sharding import assign_shards
 from .simhash import near_duplicates
 
+#: The vocabulary file of the token operators.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    return public_tokenizers.path(VOCABULARY)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +36,11 @@ def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an MPEG transport stream, read back."""
     return media_features(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets", "cc_errors")
@@ -39,6 +54,7 @@ def op10_prefix_filtered_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bounded_ring_shards": op1_bounded_ring_shards,
     "op2_simhash_covering": op2_simhash_covering,
+    "op3_transducer_bpe": op3_transducer_bpe,
     "op9_transport_stream": op9_transport_stream,
     "op10_prefix_filtered_leaks": op10_prefix_filtered_leaks,
 }
