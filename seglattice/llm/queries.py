@@ -14,6 +14,7 @@ from .decontam import contamination_report
 from .media import media_features
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .toxicity import toxicity
 
 #: The vocabulary file of the token operators.
 VOCABULARY = "word_bpe_49k.json"
@@ -41,6 +42,11 @@ def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a machine fitted on the rows that are not held out."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an MPEG transport stream, read back."""
     return media_features(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets", "cc_errors")
@@ -55,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_bounded_ring_shards": op1_bounded_ring_shards,
     "op2_simhash_covering": op2_simhash_covering,
     "op3_transducer_bpe": op3_transducer_bpe,
+    "op8_string_kernel_toxicity": op8_string_kernel_toxicity,
     "op9_transport_stream": op9_transport_stream,
     "op10_prefix_filtered_leaks": op10_prefix_filtered_leaks,
 }
