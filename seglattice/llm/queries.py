@@ -12,6 +12,7 @@ from .bpe import token_digests
 from .common import table
 from .decontam import contamination_report
 from .media import media_features
+from .quality import quality
 from .sharding import assign_shards
 from .simhash import near_duplicates
 from .toxicity import toxicity
@@ -42,6 +43,11 @@ def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a field fitted on the rows that are not held out."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a machine fitted on the rows that are not held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op1_bounded_ring_shards": op1_bounded_ring_shards,
     "op2_simhash_covering": op2_simhash_covering,
     "op3_transducer_bpe": op3_transducer_bpe,
+    "op5_crf_quality": op5_crf_quality,
     "op8_string_kernel_toxicity": op8_string_kernel_toxicity,
     "op9_transport_stream": op9_transport_stream,
     "op10_prefix_filtered_leaks": op10_prefix_filtered_leaks,
