@@ -15,6 +15,7 @@ from .media import media_features
 from .quality import quality
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .token_output import token_output
 from .toxicity import toxicity
 
 #: The vocabulary file of the token operators.
@@ -43,6 +44,11 @@ def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents in wavelet-matrix shards, read back."""
+    return token_output(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by a field fitted on the rows that are not held out."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_bounded_ring_shards": op1_bounded_ring_shards,
     "op2_simhash_covering": op2_simhash_covering,
     "op3_transducer_bpe": op3_transducer_bpe,
+    "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_crf_quality": op5_crf_quality,
     "op8_string_kernel_toxicity": op8_string_kernel_toxicity,
     "op9_transport_stream": op9_transport_stream,
