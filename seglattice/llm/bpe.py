@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 #: Words of the lexicon; the most frequent of the whole corpus.
 LEXICON_WORDS = 50_000
@@ -64,6 +64,45 @@ _UNSAFE = re.compile(f"[^{re.escape(_L + _N + _P + _SPACES)}]")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{re.escape(_L)}]+|[{re.escape(_N)}]|[{re.escape(_P)}]+")
 
 
+#: The same over Latin-1 bytes: kinds, lower case, and the first n bytes of a number.
+_KIND = np.zeros(256, np.uint8)
+for _k, _chars in enumerate((_L, _N, _P), 1):
+    _KIND[[ord(c) for c in _chars if ord(c) < 256 and ord(c.lower()) < 256]] = _k
+_LOWER = bytes(ord(chr(i).lower()) if _KIND[i] else i for i in range(256))
+_FINE = bytes(i for i in range(256) if _KIND[i]) + _SPACES.encode()
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _latin(text: str) -> bytes | None:
+    """The text in Latin-1, if it has safe characters only and nothing like a special token."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if data.translate(None, _FINE) or b"<|" in data else data
+
+
+def split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of safe Latin-1 bytes in lower case start, and their lengths, as _WORD finds them."""
+    kind = _KIND[data]
+    new = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1
+    starts = np.append(0, new) if len(data) else new
+    lengths = np.diff(np.append(starts, len(data)))
+    kind = kind[starts]
+    # an apostrophe that opens a run of its own takes the letters of a contraction
+    mark = np.flatnonzero((data[starts] == 39) & (lengths == 1) & (np.append(kind[1:], 0) == 1))
+    if len(mark):
+        one, two = data[starts[mark] + 1], data[np.minimum(starts[mark] + 2, len(data) - 1)]
+        single = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+        double = (lengths[mark + 1] > 1) & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+        taken = np.where(single, 1, np.where(double, 2, 0))
+        lengths[mark] += taken
+        starts[mark + 1] += taken
+        lengths[mark + 1] -= taken
+    keep = (kind != 0) & (lengths > 0)
+    return starts[keep], lengths[keep]
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -294,8 +333,49 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)]
 
 
+class Keys:
+    """A hash table from words of at most 16 single-byte characters, as two 64-bit numbers, to slots."""
+
+    def __init__(self, bits: int):
+        self.mask = (1 << bits) - 1
+        self.a, self.b, self.slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = self._place(a, b)
+        out = self.slot[at]
+        open_ = np.flatnonzero((out >= 0) & ((self.a[at] != a) | (self.b[at] != b)))
+        while len(open_):
+            at = (at if len(at) == len(open_) else at[open_]) + 1 & self.mask
+            got, x, y = self.slot[at], a[open_], b[open_]
+            out[open_] = got
+            still = (got >= 0) & ((self.a[at] != x) | (self.b[at] != y))
+            open_, at = open_[still], at[still]
+        return out
+
+    def put(self, a: np.ndarray, b: np.ndarray, slots: np.ndarray) -> None:
+        """Add keys that are new and distinct."""
+        at = self._place(a, b)
+        while len(at):
+            free = np.flatnonzero(self.slot[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            take = free[first]
+            self.a[at[take]], self.b[at[take]], self.slot[at[take]] = a[take], b[take], slots[take]
+            rest = np.ones(len(at), bool)
+            rest[take] = False
+            a, b, slots, at = a[rest], b[rest], slots[rest], at[rest] + 1 & self.mask
+
+
 class Encoder:
-    """Texts to ids. Remembers distinct words in two generations of bounded size."""
+    """Texts to ids. Remembers distinct words in two generations of bounded size.
+
+    Texts of safe Latin-1 characters are split into words all at once, and words of up to 16 characters are looked up as
+    numbers; other texts and words go through strings.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = MEMO_WORDS):
         self.vocabulary, self.lexicon, self.memo_words = vocabulary, lexicon, memo_words
@@ -306,6 +386,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.memo: dict[str, int] = {}
+        self.keys = Keys(max(12, (2 * self.memo_words).bit_length() + 1))
         self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.int32), 0
         # no word contains white space, so these keys stay apart
         special = self.vocabulary.special
@@ -362,18 +443,73 @@ class Encoder:
         if len(self.memo) > self.memo_words:
             self.old = (self.memo, self.starts, self.lengths, self.flat)
             self._reset()
+        plain: list[bytes] = []
         words: list[str] = []
-        ends = []
+        kinds: list[bool] = []
+        counts: list[int] = []  # words of the texts that are not plain
         for text in texts:
-            words += self.words(text or "")
-            ends.append(len(words))
+            data = _latin(text or "")
+            kinds.append(data is not None)
+            if data is not None:
+                plain.append(data)
+            else:
+                own = self.words(text)
+                words += own
+                counts.append(len(own))
+        fast, sizes = self._plain_slots(plain)
+        slots = fast
+        if words:
+            slow = self._slots(words)
+            order, a, b, sized, counted = [], 0, 0, iter(sizes), iter(counts)
+            for kind in kinds:
+                if kind:
+                    n = next(sized)
+                    order.append(fast[a : a + n])
+                    a += n
+                else:
+                    n = next(counted)
+                    order.append(slow[b : b + n])
+                    b += n
+            slots = np.concatenate(order)
+        sized, counted = iter(sizes), iter(counts)
+        ends = np.cumsum([next(sized) if kind else next(counted) for kind in kinds], dtype=np.int64)
+        lengths = self.lengths[slots]
+        return gather(self.flat, self.starts[slots], lengths), np.append(0, np.cumsum(lengths))[ends]
+
+    def _slots(self, words: list[str]) -> np.ndarray:
         memo = self.memo
-        new = [w for w in set(words) if w not in memo]
+        new = [w for w in dict.fromkeys(words) if w not in memo]
         if new:
             self._learn(new)
-        slots = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[slots]
-        return gather(self.flat, self.starts[slots], lengths), np.append(0, np.cumsum(lengths))[np.array(ends, np.int64)]
+        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+
+    def _plain_slots(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The slots of all words of Latin-1 texts, and the number of words of each text."""
+        data = b" ".join([*texts, b" " * 17]).translate(_LOWER)
+        starts, lengths = split(np.frombuffer(data, np.uint8))
+        bounds = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        sizes = np.diff(np.append(0, np.searchsorted(starts, bounds))).tolist()
+        # 8 bytes from any place on, and what of them belongs to the word
+        eight = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
+        short = lengths <= 16
+        at, n = starts[short], lengths[short]
+        a, b = eight[at] & _HEAD[np.minimum(n, 8)], eight[at + 8] & _HEAD[np.maximum(n - 8, 0)]
+        slots = np.empty(len(starts), np.int64)
+        found = self.keys.find(a, b)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            a, b = a[missing], b[missing]
+            words = np.stack([a, b], axis=1).view("S16")[:, 0].tolist()
+            own = self._slots([w.decode("latin-1") for w in words])
+            distinct, first = np.unique(own, return_index=True)
+            self.keys.put(a[first], b[first], distinct.astype(np.int32))
+            found = found.astype(np.int64)
+            found[missing] = own
+        slots[short] = found
+        long = np.flatnonzero(~short)
+        if len(long):
+            slots[long] = self._slots([data[s : s + n].decode("latin-1") for s, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
+        return slots, sizes
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens joined by single spaces, as the library does without a decoder."""
@@ -381,10 +517,21 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts (runs of letters, in lower case), counted over every row; ties by the word."""
+    """The most frequent words of all texts (runs of letters, in lower case), counted over every row; ties by the word.
+
+    A histogram of the counts tells from which count on words are wanted, so that the driver gets little more than limit.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")).where("w != ''")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(limit).collect()]
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):  # at most 16 rows for each doubling
+        held, least = held + r["n"], r["level"]
+        if held >= limit:
+            break
+    if held > 4 * limit:  # equal counts: only an order can cut
+        return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(limit).collect()]
+    return [w for _, w in sorted((-r["n"], r["w"]) for r in counts.where(level >= least).collect())[:limit]]
 
 
 def encoder_factory(spark: SparkSession, vocabulary_path: str, words: Iterable[str] = ()) -> Callable[[], Encoder]:
