@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import token_digests
+from .chat import format_chats
 from .common import table
 from .decontam import contamination_report
 from .media import media_features
@@ -17,6 +18,7 @@ from .sharding import assign_shards
 from .simhash import near_duplicates
 from .token_output import token_output
 from .toxicity import toxicity
+from .urls import judge_urls
 
 #: The vocabulary file of the token operators.
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +28,9 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: The listed rules of op7: verdict, host, start of path.
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,6 +59,16 @@ def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with repaired roles, rendered."""
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op7_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL by rules, else by trees fitted on weak labels."""
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a machine fitted on the rows that are not held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -75,6 +90,8 @@ QUERIES: dict[str, Query] = {
     "op3_transducer_bpe": op3_transducer_bpe,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_crf_quality": op5_crf_quality,
+    "op6_role_repair": op6_role_repair,
+    "op7_boosted_url_filter": op7_boosted_url_filter,
     "op8_string_kernel_toxicity": op8_string_kernel_toxicity,
     "op9_transport_stream": op9_transport_stream,
     "op10_prefix_filtered_leaks": op10_prefix_filtered_leaks,
