@@ -37,7 +37,7 @@ from .common import materialize, slices
 #: Words of the lexicon; the most frequent of the whole corpus.
 LEXICON_WORDS = 50_000
 #: Words that an encoder remembers in each of two generations.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 400_000
 #: Words above this many bytes merge through a heap.
 LONG_WORD = 48
 #: The rank of a pair that does not merge.
@@ -135,6 +135,8 @@ class Vocabulary:
         self.pair_joined = np.zeros(len(model["merges"]), np.int32)
         for rank, joined in self.merges.values():
             self.pair_joined[rank] = joined
+        # most lookups are of single bytes: ranks of their pairs by (byte, byte, second is last)
+        self.byte_ranks = np.stack([self._ranks(self.inner[:, None] + 0 * t, 0 * self.inner[:, None] + t) for t in (self.inner, self.last)], axis=2).astype(np.int32)
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
         # the file without its model: normalizer and pre-tokenizer only
@@ -179,9 +181,17 @@ class Vocabulary:
         lengths = np.fromiter(map(len, data), np.int64, len(data))
         flat = np.frombuffer(b"".join(data), np.uint8)
         parts = np.full((len(data), width + 1), -1, np.int32)  # a column of -1 remains at the right
-        parts[:, :width][np.arange(width) < lengths[:, None]] = self.inner[flat]
-        parts[np.arange(len(data)), lengths - 1] = self.last[flat[np.cumsum(lengths) - 1]]
-        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+        inside = np.arange(width) < lengths[:, None]
+        parts[:, :width][inside] = self.inner[flat]
+        ends = np.cumsum(lengths)
+        parts[np.arange(len(data)), lengths - 1] = self.last[flat[ends - 1]]
+        final = np.zeros(len(flat), np.int8)
+        final[ends - 1] = 1
+        left = np.ones(len(flat), bool)
+        left[ends - 1] = False
+        at = np.flatnonzero(left)
+        ranks = np.full((len(data), width), NONE, np.int32)
+        ranks[np.arange(width) < lengths[:, None] - 1] = self.byte_ranks[flat[at], flat[at + 1], final[at + 1]]
         columns, done, live = np.arange(width + 1), [None] * len(data), np.arange(len(data))
         while len(live):
             at = ranks.argmin(axis=1)
@@ -386,14 +396,16 @@ class Encoder:
 
     def _reset(self) -> None:
         self.memo: dict[str, int] = {}
-        self.keys = Keys(max(12, (2 * self.memo_words).bit_length() + 1))
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.int32), 0
+        self.keys = Keys(max(12, (2 * self.memo_words).bit_length()))
+        self.starts, self.lengths, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
+        self.flat, self.used = np.zeros(1 << 12, np.int32), 0
         # no word contains white space, so these keys stay apart
         special = self.vocabulary.special
-        self._add([f" {t}" for t in special], np.ones(len(special), np.int64), np.array(list(special.values()), np.int32))
+        self.memo.update(zip((f" {t}" for t in special), self._store(np.ones(len(special), np.int64), np.array(list(special.values()), np.int32)).tolist(), strict=True))
 
-    def _add(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        n, m = len(self.memo), len(words)
+    def _store(self, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New slots for runs of ids of these lengths."""
+        n, m = self.count, len(lengths)
         while n + m > len(self.starts):
             self.starts, self.lengths = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.lengths, np.zeros_like(self.lengths))
         while self.used + len(ids) > len(self.flat):
@@ -402,25 +414,23 @@ class Encoder:
         self.lengths[n : n + m] = lengths
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.memo.update(zip(words, range(n, n + m), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember words: from the generation before, from the lexicon, or merged."""
-        if self.old is not None:
-            memo, starts, lengths, flat = self.old
-            before = [w for w in words if w in memo]
-            slots = np.fromiter(map(memo.__getitem__, before), np.int64, len(before))
-            self._add(before, lengths[slots], gather(flat, starts[slots], lengths[slots]))
-            words = [w for w in words if w not in memo]
-        if self.lexicon is not None and words:
+        self.count += m
+        return np.arange(n, n + m)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """New slots for distinct words: from the lexicon, or merged."""
+        slots = np.empty(len(words), np.int64)
+        have = np.zeros(len(words), bool)
+        if self.lexicon is not None:
             places = self.lexicon.find(words)
             have = places >= 0
             start, end = self.lexicon.start[places[have]], self.lexicon.start[places[have] + 1]
-            self._add([w for w, h in zip(words, have.tolist(), strict=True) if h], end - start, gather(self.lexicon.ids, start, end - start))
-            words = [w for w, h in zip(words, have.tolist(), strict=True) if not h]
-        if words:
-            merged = self.vocabulary.merge_all(words)
-            self._add(words, np.fromiter(map(len, merged), np.int64, len(merged)), np.concatenate(merged))
+            slots[have] = self._store(end - start, gather(self.lexicon.ids, start, end - start))
+        rest = np.flatnonzero(~have)
+        if len(rest):
+            merged = self.vocabulary.merge_all([words[i] for i in rest.tolist()])
+            slots[rest] = self._store(np.fromiter(map(len, merged), np.int64, len(merged)), np.concatenate(merged))
+        return slots
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order, special tokens marked by a leading space."""
@@ -440,8 +450,8 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text ends in it."""
-        if len(self.memo) > self.memo_words:
-            self.old = (self.memo, self.starts, self.lengths, self.flat)
+        if self.count > self.memo_words:
+            self.old = (self.keys, self.starts, self.lengths, self.flat)
             self._reset()
         plain: list[bytes] = []
         words: list[str] = []
@@ -477,12 +487,38 @@ class Encoder:
         return gather(self.flat, self.starts[slots], lengths), np.append(0, np.cumsum(lengths))[ends]
 
     def _slots(self, words: list[str]) -> np.ndarray:
+        """Slots of words that go through strings."""
         memo = self.memo
         new = [w for w in dict.fromkeys(words) if w not in memo]
         if new:
-            self._learn(new)
+            memo.update(zip(new, self._learn(new).tolist(), strict=True))
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
+    def _key_slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Slots of words given as two numbers: known ones, those of the generation before, new ones."""
+        slots = self.keys.find(a, b).astype(np.int64)
+        if self.old is not None and len(missing := np.flatnonzero(slots < 0)):
+            keys, starts, lengths, flat = self.old
+            before = keys.find(a[missing], b[missing])
+            known, first, back = np.unique(before, return_index=True, return_inverse=True)
+            some = known >= 0
+            own = np.full(len(known), -1, np.int64)
+            own[some] = self._store(lengths[known[some]], gather(flat, starts[known[some]], lengths[known[some]]))
+            first = missing[first[some]]
+            self.keys.put(a[first], b[first], own[some].astype(np.int32))
+            slots[missing] = own[back]
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            x, y = a[missing], b[missing]
+            order = np.lexsort((y, x))
+            new = np.append(True, (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]]))
+            first = order[new]
+            words = np.stack([x[first], y[first]], axis=1).view("S16")[:, 0].tolist()
+            own = self._learn([w.decode("latin-1") for w in words])
+            self.keys.put(x[first], y[first], own.astype(np.int32))
+            slots[missing[order]] = own[np.cumsum(new) - 1]
+        return slots
+
     def _plain_slots(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """The slots of all words of Latin-1 texts, and the number of words of each text."""
         data = b" ".join([*texts, b" " * 17]).translate(_LOWER)
@@ -495,17 +531,7 @@ class Encoder:
         at, n = starts[short], lengths[short]
         a, b = eight[at] & _HEAD[np.minimum(n, 8)], eight[at + 8] & _HEAD[np.maximum(n - 8, 0)]
         slots = np.empty(len(starts), np.int64)
-        found = self.keys.find(a, b)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            a, b = a[missing], b[missing]
-            words = np.stack([a, b], axis=1).view("S16")[:, 0].tolist()
-            own = self._slots([w.decode("latin-1") for w in words])
-            distinct, first = np.unique(own, return_index=True)
-            self.keys.put(a[first], b[first], distinct.astype(np.int32))
-            found = found.astype(np.int64)
-            found[missing] = own
-        slots[short] = found
+        slots[short] = self._key_slots(a, b)
         long = np.flatnonzero(~short)
         if len(long):
             slots[long] = self._slots([data[s : s + n].decode("latin-1") for s, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
