@@ -84,6 +84,10 @@ def compile_dictionary(d: Dictionary, ignore_space: bool = False, max_grouping:
     )
 
 
+def _user_first(made: tuple[int, tuple[int, int, int, int]]) -> tuple[bool, int]:
+    return made[1][0] < USER_BASE, made[1][0]
+
+
 class Kernel:
     def __init__(self, compiled: Compiled):
         self.d = compiled
@@ -132,81 +136,82 @@ class Kernel:
         """The front after a piece, the least cost to it, and for each of its items the item before and the words between."""
         d, entry = self.d, self.front_list[front]
         n = len(text)
+        # (first character, end, word id, cost, node before); those of the front come first
+        nodes = [(0, 0, e[2], e[1], -1) for e in entry]
         right = [e[0] for e in entry]
-        cost = [e[1] for e in entry]
-        word = [e[2] for e in entry]
-        spans = [(0, 0)] * len(entry)
-        before = [-1] * len(entry)
-        ends: list[list[int]] = [[] for _ in range(n + 1)]
-        ends[0] = sorted(range(len(entry)), key=lambda k: entry[k][3])
+        # at each character the cheapest node that ends there for every right id, the last found of equals; a node that
+        # costs more than another of its right id and end is never chosen, so it is not made
+        here: list[dict[int, tuple[int, int]]] = [{} for _ in range(n + 1)]
+        linked: list[list[int]] = [[] for _ in range(n + 1)]  # in order of linking; where spaces are not ignored, at the end only
+        linked[0] = sorted(range(len(entry)), key=lambda k: entry[k][3])
+        for k, e in enumerate(entry):
+            old = here[0].get(e[0])
+            if old is None or e[1] <= old[0]:
+                here[0][e[0]] = (e[1], k)
         run = self._runs(sets)
         lengths, words, heads, columns, right_size = d.lengths, d.words, d.heads, d.columns, d.right_size
-
-        def add(i: int, e: int, w: tuple[int, int, int, int]) -> None:
-            w_id, left, w_right, w_cost = w
-            column = columns[left] if left < len(columns) else None
-            best = chosen = None
-            for p in ends[i]:
-                r = right[p]
-                c = cost[p] + (column[r] if column is not None and r < right_size else OUTSIDE_COST)
-                if best is None or c < best or c == best and p > chosen:
-                    best, chosen = c, p
-            ends[e].append(len(cost))
-            right.append(w_right)
-            cost.append(best + w_cost)
-            word.append(w_id)
-            spans.append((i, e))
-            before.append(chosen)
-
         for i in range(n):
-            if not ends[i]:
+            before = here[i]
+            if not before:
                 continue
             own = d.sets[sets[i]]
             if d.ignore_space and d.space in own:
-                ends[run[i]] += reversed(ends[i])
+                past = here[run[i]]
+                for r, (c, p) in before.items():
+                    old = past.get(r)
+                    if old is None or (c, -p) < (old[0], -old[1]):
+                        past[r] = (c, p)
+                linked[run[i]] += reversed(linked[i])
                 continue
-            found = []
+            made: list[tuple[int, tuple[int, int, int, int]]] = []
             if text[i] in heads:
                 for size in lengths:
                     if size > n - i:
                         break
                     hit = words.get(text[i : i + size])
                     if hit is not None:
-                        found += [(w[0] < USER_BASE, w[0], i + size, w) for w in hit]
-                if len(found) > 1:
-                    found.sort()
-                for _, _, e, w in found:
-                    add(i, e, w)
+                        made += [(i + size, w) for w in hit]
+                if len(made) > 1:
+                    made.sort(key=_user_first)
+            matched = bool(made)
             invoke, group, length = d.categories[own[0]]
-            if found and not invoke:
-                continue
-            size, any_made = run[i] - i, False
-            grouped = group and (not d.max_grouping or size - 1 <= d.max_grouping)
-            for w in d.unknown[own[0]]:
-                if grouped:
-                    add(i, run[i], w)
-                    any_made = True
-                for k in range(1, min(length, size) + 1):
-                    if not (grouped and k == size):
-                        add(i, i + k, w)
-                        any_made = True
-            if not (found or any_made):
-                add(i, i + 1, d.first_unknown[own[0]])
-        least: dict[int, int] = {}
-        for p in ends[n]:
-            least[right[p]] = min(cost[p], least.get(right[p], cost[p]))
-        kept = [p for p in ends[n] if cost[p] == least[right[p]]]  # no other can be chosen from here on
-        base = min(least.values())
+            if invoke or not matched:
+                size = run[i] - i
+                grouped = group and (not d.max_grouping or size - 1 <= d.max_grouping)
+                for w in d.unknown[own[0]]:
+                    if grouped:
+                        made.append((run[i], w))
+                    for k in range(1, min(length, size) + 1):
+                        if not (grouped and k == size):
+                            made.append((i + k, w))
+                if not made:
+                    made.append((i + 1, d.first_unknown[own[0]]))
+            best: dict[int, tuple[int, int]] = {}  # the best node before depends on the left id alone
+            for e, (w_id, left, w_right, w_cost) in made:
+                chosen = best.get(left)
+                if chosen is None:
+                    column = columns[left] if left < len(columns) else ()
+                    chosen = best[left] = min((c + (column[r] if column and r < right_size else OUTSIDE_COST), -p) for r, (c, p) in before.items())
+                c = chosen[0] + w_cost
+                old = here[e].get(w_right)
+                if old is None or c <= old[0]:
+                    here[e][w_right] = (c, len(nodes))
+                    if e == n or d.ignore_space:
+                        linked[e].append(len(nodes))
+                    nodes.append((i, e, w_id, c, -chosen[1]))
+                    right.append(w_right)
+        kept = [p for p in linked[n] if nodes[p][3] == here[n][right[p]][0]]
+        base = min(c for c, _ in here[n].values())
         place = {p: k for k, p in enumerate(kept)}
         kept.sort()
         paths = []
         for p in kept:
             steps, q = [], p
             while q >= len(entry):
-                steps.append((*spans[q], word[q], cost[q]))
-                q = before[q]
+                steps.append(nodes[q][:4])
+                q = nodes[q][4]
             paths.append((q, steps[::-1]))
-        return self._front(tuple((right[p], cost[p] - base, word[p], place[p]) for p in kept)), base, paths
+        return self._front(tuple((right[p], nodes[p][3] - base, nodes[p][2], place[p]) for p in kept)), base, paths
 
     def _runs(self, sets: list[int]) -> list[int]:
         """For each character the end of the run of characters that share a category with it."""

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SPANS, TOKENS, UNKNOWN_BASE
@@ -107,6 +107,12 @@ def kernel_udf(broadcast, make: Callable[[list[str | None], Kernel], pa.Array],
     return F.arrow_udf(column, kind)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a small file would keep one core busy. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tokenizer:
     """Columns of words for a dictionary and options. max_grouping 0: no limit on grouped unknown words."""
 
@@ -185,6 +191,6 @@ def reading(feature: Column) -> Column:
     return F.when(part == "*", "").otherwise(part)
 
 
-def explode_tokens(df, tokens: str, *keep: str):
+def explode_tokens(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
     """A row for each word: its number from 0 and its fields."""
     return df.select(*keep, F.posexplode(tokens).alias("position", "t")).select(*keep, "position", "t.*")
