@@ -20,7 +20,8 @@ def tokenize_stream(stream: DataFrame, tokenizer: Tokenizer, text: str = "text",
 
 def windowed_counts(stream: DataFrame, tokenizer: Tokenizer, *, time: str, text: str, window: str = "10 minutes", lateness: str = "10 minutes", by: str | None = None) -> DataFrame:
     """(window_start, [by], rows, words) of a stream or a table with an event time."""
-    counted = stream.withColumn("_words", tokenizer.tokenize_count(text))
+    # watermarks take instants; a time without a zone is one of the session's zone
+    counted = stream.withColumn(time, F.col(time).cast("timestamp")).withColumn("_words", tokenizer.tokenize_count(text))
     if stream.isStreaming:
         counted = counted.withWatermark(time, lateness)
     keys = [F.window(time, window).alias("w"), *([F.col(by)] if by else [])]
