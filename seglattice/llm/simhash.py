@@ -103,6 +103,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col)
     mark = fresh(docs, "kept")
     kept = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(mark)).agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(kept.select(mark), F.col(quoted(id_col)).eqNullSafe(F.col(mark)), "left_semi")
+    # always a shuffle by id: ids are spread evenly, and what is kept is no small table
+    out = docs.join(kept.select(mark).hint("shuffle_hash"), F.col(quoted(id_col)).eqNullSafe(F.col(mark)), "left_semi")
     # ids that several rows of one group share: one of those rows stays
     return out if kept.where("rows > 1").isEmpty() else out.dropDuplicates([id_col])
