@@ -3,6 +3,9 @@ import random
 import re
 
 from seglattice.llm.decontam import contamination_report, drop_contaminated, words_of
+from seglattice.llm.queries import ORACLE_SQL, QUERIES
+
+from ..compare import compare
 
 DOCS = "/root/testdata/sf0.001"
 
@@ -79,3 +82,8 @@ def test_long_text(spark):
     b = spark.createDataFrame([(7, " ".join(f"leak{i}" for i in range(12)))], "item_id bigint, text string")
     row = contamination_report(d, b).first()
     assert (row["n_words"], row["n_hit"], row["n_items"]) == (700_000, 12, 1)
+
+
+def test_rows_equal_sql(spark):
+    name = "op10_prefix_filtered_leaks"
+    assert compare(spark, name, QUERIES[name], ORACLE_SQL[name], DOCS) is None
