@@ -33,7 +33,7 @@ class Compiled:
 
     words: dict[str, tuple[tuple[int, int, int, int], ...]]  # surface to (word id, left id, right id, cost), user words first
     lengths: tuple[int, ...]
-    heads: frozenset[str]  # first characters of words
+    heads: frozenset[str]  # beginnings of words of more than one character, and the words
     columns: tuple[tuple[int, ...], ...]  # costs by left id, then right id
     right_size: int
     sets: tuple[tuple[int, ...], ...]  # distinct category lists; 0 is that of code points without a range
@@ -75,7 +75,7 @@ def compile_dictionary(d: Dictionary, ignore_space: bool = False, max_grouping:
     for i, u in enumerate(d.unknown):
         unknown[u.category_id].append((UNKNOWN_BASE + i, u.left_id, u.right_id, u.word_cost))
     return Compiled(
-        {w: tuple(v) for w, v in words.items()}, tuple(sorted({len(w) for w in words})), frozenset(w[0] for w in words),
+        {w: tuple(v) for w, v in words.items()}, tuple(sorted({len(w) for w in words})), frozenset(w[:i] for w in words for i in range(1, len(w) + 1)),
         tuple(map(tuple, grid.tolist())), m.right_size, tuple(listed), tuple(map(tuple, overlap)), tuple(map(tuple, joined)),
         frozenset(w[i : i + 2] for w in words for i in range(len(w) - 1)), np.array(edges, np.int64), np.array(set_of, np.int32),
         tuple((c.invoke, c.group, c.length) for c in d.categories), tuple(map(tuple, unknown)), tuple(u[0] if u else (UNKNOWN_BASE, 0, 0, FALLBACK_COST) for u in unknown),
@@ -93,6 +93,7 @@ class Kernel:
         self.d = compiled
         self.memo: dict[tuple[int, str], tuple] = {}
         self.fronts: dict[tuple, int] = {}
+        self.made: dict[tuple[int, int], list] = {}
         self.front_list: list[tuple] = []
         self._reset()
         top = 0x110000
@@ -132,8 +133,8 @@ class Kernel:
             at = at[self.pairs[where] != pair]
         return [*(at + 1).tolist(), len(text)], sets
 
-    def piece(self, front: int, text: str, sets: list[int]) -> tuple[int, int, list[tuple[int, list[Step]]]]:
-        """The front after a piece, the least cost to it, and for each of its items the item before and the words between."""
+    def piece(self, front: int, text: str, sets: list[int]) -> tuple[int, int, tuple[tuple[int, tuple[int, ...]], ...]]:
+        """The front after a piece, the least cost to it, and for each of its items the item before and the words between, four numbers each."""
         d, entry = self.d, self.front_list[front]
         n = len(text)
         # (first character, end, word id, cost, node before); those of the front come first
@@ -149,7 +150,8 @@ class Kernel:
             if old is None or e[1] <= old[0]:
                 here[0][e[0]] = (e[1], k)
         run = self._runs(sets)
-        lengths, words, heads, columns, right_size = d.lengths, d.words, d.heads, d.columns, d.right_size
+        words, heads, columns, right_size, all_links = d.words, d.heads, d.columns, d.right_size, d.ignore_space
+        longest = d.lengths[-1] if d.lengths else 0
         for i in range(n):
             before = here[i]
             if not before:
@@ -164,41 +166,42 @@ class Kernel:
                 linked[run[i]] += reversed(linked[i])
                 continue
             made: list[tuple[int, tuple[int, int, int, int]]] = []
-            if text[i] in heads:
-                for size in lengths:
-                    if size > n - i:
-                        break
-                    hit = words.get(text[i : i + size])
-                    if hit is not None:
-                        made += [(i + size, w) for w in hit]
+            for size in range(1, longest + 1):
+                part = text[i : i + size]
+                if part not in heads or i + size > n:
+                    break
+                hit = words.get(part)
+                if hit is not None:
+                    made += [(size, w) for w in hit]
+            base = own[0]
+            if made:
                 if len(made) > 1:
                     made.sort(key=_user_first)
-            matched = bool(made)
-            invoke, group, length = d.categories[own[0]]
-            if invoke or not matched:
-                size = run[i] - i
-                grouped = group and (not d.max_grouping or size - 1 <= d.max_grouping)
-                for w in d.unknown[own[0]]:
-                    if grouped:
-                        made.append((run[i], w))
-                    for k in range(1, min(length, size) + 1):
-                        if not (grouped and k == size):
-                            made.append((i + k, w))
-                if not made:
-                    made.append((i + 1, d.first_unknown[own[0]]))
+                if d.categories[base][0]:
+                    made += self.unknown(base, run[i] - i)
+            else:
+                made = self.unknown(base, run[i] - i) or [(1, d.first_unknown[base])]
             best: dict[int, tuple[int, int]] = {}  # the best node before depends on the left id alone
-            for e, (w_id, left, w_right, w_cost) in made:
+            ways = [(r, c, p) for r, (c, p) in before.items()]
+            for size, (w_id, left, w_right, w_cost) in made:
                 chosen = best.get(left)
                 if chosen is None:
                     column = columns[left] if left < len(columns) else ()
-                    chosen = best[left] = min((c + (column[r] if column and r < right_size else OUTSIDE_COST), -p) for r, (c, p) in before.items())
+                    least = last = None
+                    for r, c, p in ways:
+                        c += column[r] if r < right_size and column else OUTSIDE_COST
+                        if least is None or c < least or c == least and p > last:
+                            least, last = c, p
+                    chosen = best[left] = (least, last)
                 c = chosen[0] + w_cost
-                old = here[e].get(w_right)
+                e = i + size
+                slot = here[e]
+                old = slot.get(w_right)
                 if old is None or c <= old[0]:
-                    here[e][w_right] = (c, len(nodes))
-                    if e == n or d.ignore_space:
+                    slot[w_right] = (c, len(nodes))
+                    if e == n or all_links:
                         linked[e].append(len(nodes))
-                    nodes.append((i, e, w_id, c, -chosen[1]))
+                    nodes.append((i, e, w_id, c, chosen[1]))
                     right.append(w_right)
         kept = [p for p in linked[n] if nodes[p][3] == here[n][right[p]][0]]
         base = min(c for c, _ in here[n].values())
@@ -210,8 +213,23 @@ class Kernel:
             while q >= len(entry):
                 steps.append(nodes[q][:4])
                 q = nodes[q][4]
-            paths.append((q, steps[::-1]))
-        return self._front(tuple((right[p], nodes[p][3] - base, nodes[p][2], place[p]) for p in kept)), base, paths
+            # flat tuples of numbers: the garbage collector does not visit them again
+            paths.append((q, tuple(x for step in reversed(steps) for x in step)))
+        return self._front(tuple((right[p], nodes[p][3] - base, nodes[p][2], place[p]) for p in kept)), base, tuple(paths)
+
+    def unknown(self, base: int, size: int) -> list[tuple[int, tuple[int, int, int, int]]]:
+        """Lengths and words of the unknown words of a category at the start of a run of this size."""
+        key = base, size
+        found = self.made.get(key)
+        if found is None:
+            _, group, length = self.d.categories[base]
+            grouped = group and (not self.d.max_grouping or size - 1 <= self.d.max_grouping)
+            sizes = [size] if grouped else []
+            sizes += [k for k in range(1, min(length, size) + 1) if not (grouped and k == size)]
+            found = [(k, w) for w in self.d.unknown[base] for k in sizes]
+            if size <= MEMO_CHARS:
+                self.made[key] = found
+        return found
 
     def _runs(self, sets: list[int]) -> list[int]:
         """For each character the end of the run of characters that share a category with it."""
@@ -253,12 +271,14 @@ class Kernel:
         if not text:
             return []
         trail, k = self._through(text)
-        out: list[Step] = []
+        taken = []
         for at, total, paths in reversed(trail):
             k, steps = paths[k]
-            for a, b, w, c in reversed(steps):
-                out.append((at + a, at + b, w, total + c))
-        out.reverse()
+            taken.append((at, total, steps))
+        out: list[Step] = []
+        for at, total, steps in reversed(taken):
+            for j in range(0, len(steps), 4):
+                out.append((at + steps[j], at + steps[j + 1], steps[j + 2], total + steps[j + 3]))
         return out
 
     def count(self, text: str) -> int:
@@ -269,9 +289,31 @@ class Kernel:
         n = 0
         for _, _, paths in reversed(trail):
             k, steps = paths[k]
-            n += len(steps)
+            n += len(steps) // 4
         return n
 
+    def reachable(self, text: str) -> list[int]:
+        """The positions where some word may begin or the text ends: those that a chain of edges from the start meets."""
+        if not text:
+            return [0]
+        d, n = self.d, len(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+        sets = self.sets_of(codes).tolist()
+        run, met = self._runs(sets), bytearray(n + 1)
+        met[0] = 1
+        for i in range(n):
+            if not met[i]:
+                continue
+            own = d.sets[sets[i]]
+            if d.ignore_space and d.space in own:
+                met[run[i]] = 1
+                continue
+            known = [size for size in d.lengths if text[i : i + size] in d.words and i + size <= n]
+            sizes = known + ([k for k, _ in self.unknown(own[0], run[i] - i)] if not known or d.categories[own[0]][0] else [])
+            for size in sizes or [1]:
+                met[i + size] = 1
+        return [i for i in range(n + 1) if met[i]]
+
     def feature(self, word_id: int) -> str:
         if word_id < USER_BASE:
             return self.d.features[word_id]

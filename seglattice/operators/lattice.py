@@ -116,6 +116,11 @@ def edges(df: DataFrame, key: str, text: str, d: Dictionary, max_grouping: int =
     return known.drop("surface").unionByName(unknown_edges(runs, known, d, tables, key, max_grouping))
 
 
+def reachable_edges(all_edges: DataFrame, positions: DataFrame, key: str) -> DataFrame:
+    """Edges that start where some chain of edges arrives; positions: (key, start) rows, as a tokenizer's reachable column gives."""
+    return all_edges.join(positions, [key, "start"], "left_semi")
+
+
 def connection_costs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     """pairs (right_id, left_id) with their cost; pairs outside the matrix have a fixed one."""
     m = d.tables(pairs.sparkSession)["connection"]

@@ -7,6 +7,8 @@ a compiled dictionary without features.
 
 from __future__ import annotations
 
+import gc
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ def kernel_of(broadcast) -> Kernel:
         if len(_KERNELS) > 3:
             _KERNELS.clear()
         _KERNELS[key] = Kernel(broadcast.value)
+        gc.set_threshold(50_000, 50, 100)  # remembered pieces are many and hold no cycles
     return _KERNELS[key]
 
 
@@ -97,6 +100,10 @@ def surfaces(texts: list[str | None], kernel: Kernel) -> pa.Array:
     return pa.array([None if t is None else " ".join([t[a:b] for a, b, _, _ in kernel.tokenize(t)]) for t in texts], pa.string())
 
 
+def reachable(texts: list[str | None], kernel: Kernel) -> pa.Array:
+    return pa.array([None if t is None else kernel.reachable(t) for t in texts], pa.list_(pa.int32()))
+
+
 def kernel_udf(broadcast, make: Callable[[list[str | None], Kernel], pa.Array], kind: str):
     def column(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kernel = kernel_of(broadcast)
@@ -155,6 +162,10 @@ class Tokenizer:
         """Words joined by single spaces."""
         return self.wakati_udf()(text)
 
+    def reachable(self, text: Column | str) -> Column:
+        """array<int>: the character positions that a chain of edges from the start meets."""
+        return kernel_udf(self.bare, reachable, "array<int>")(text)
+
     def mecab(self, text: Column | str) -> Column:
         return mecab_text(self.tokenize(text))
 
@@ -191,6 +202,42 @@ def reading(feature: Column) -> Column:
     return F.when(part == "*", "").otherwise(part)
 
 
+#: Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 200_000
+
+
+def word_frequencies(df: DataFrame, text: str, tokenizer: Tokenizer) -> DataFrame:
+    """(surface, is_unknown, n, rows): how often each word occurs in a text column, and in how many rows.
+
+    Tasks count their rows' words first and pass on one row for each word, so what is shuffled follows the number of
+    distinct words, not of words.
+    """
+    shared = tokenizer.bare
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, total, rows = kernel_of(shared), Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(total)
+            columns = [pa.array([s for s, _ in names], pa.string()), pa.array([u for _, u in names], pa.bool_()), pa.array([total[k] for k in names], pa.int64()), pa.array([rows[k] for k in names], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["surface", "is_unknown", "n", "rows"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                own = t.as_py() or ""
+                found = Counter((own[a:b], w >= UNKNOWN_BASE) for a, b, w, _ in kernel.tokenize(own))
+                total.update(found)
+                rows.update(found.keys())
+                if len(total) > COUNTED_WORDS:
+                    yield counted()
+                    total.clear()
+                    rows.clear()
+        yield counted()
+
+    parts = df.select(text).mapInArrow(count, "surface string, is_unknown boolean, n bigint, rows bigint")
+    return parts.groupBy("surface", "is_unknown").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+
+
 def explode_tokens(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
     """A row for each word: its number from 0 and its fields."""
     return df.select(*keep, F.posexplode(tokens).alias("position", "t")).select(*keep, "position", "t.*")

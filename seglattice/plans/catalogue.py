@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import register
 from ..operators import lattice
-from ..operators.tokenizer import Tokenizer, explode_tokens, json_text, mecab_text, part_of_speech, reading, spread, wakati_text
+from ..operators.tokenizer import Tokenizer, explode_tokens, json_text, mecab_text, part_of_speech, reading, spread, wakati_text, word_frequencies
 from ..schema import OUTSIDE_COST, UNKNOWN_BASE
 from ..sources.dictionary import Dictionary, invalid_ids
 from ..sources.html import page_text
@@ -194,6 +194,17 @@ def q_space_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.space_links(run_rows(items(spark, sf_dir), latin()), latin(), "id")
 
 
+@query(
+    f"WITH RECURSIVE {oracle.edges(ITEMS, latin())}, met AS (SELECT id, 0 AS at FROM src UNION SELECT g.id, g.e FROM met JOIN edge g ON g.id = met.id AND g.s = met.at) "
+    "SELECT g.id, s, e, wid FROM edge g JOIN met ON met.id = g.id AND met.at = g.s"
+)
+def q_reachable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that start where some chain of edges arrives."""
+    texts, d = items(spark, sf_dir), latin()
+    positions = texts.select("id", F.explode(Tokenizer(spark, d).reachable("t")).alias("start"))
+    return lattice.reachable_edges(lattice.edges(texts, "id", "t", d), positions, "id").select("id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("word_id").alias("wid"))
+
+
 @query(f"SELECT r.r::INTEGER AS right_id, l.l::INTEGER AS left_id, coalesce(cost, {OUTSIDE_COST}) AS cost FROM range(6) r(r) CROSS JOIN range(6) l(l) LEFT JOIN {oracle.matrix_sql(latin())} ON right_id = r.r AND left_id = l.l")
 def q_connection_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of pairs inside and outside the matrix."""
@@ -286,10 +297,7 @@ def q_count_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents by surface and kind, with the number of documents."""
-    rows = documents(spark, sf_dir).select("id", Tokenizer(spark, latin()).tokenize("t").alias("tokens"))
-    each = rows.select("id", F.explode("tokens").alias("w")).select("id", F.col("w.surface").alias("surface"), F.col("w.is_unknown").alias("is_unknown"))
-    per_doc = each.groupBy("surface", "is_unknown", "id").agg(F.count("*").alias("n"))  # combines before the shuffle
-    return per_doc.groupBy("surface", "is_unknown").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return word_frequencies(documents(spark, sf_dir), "t", Tokenizer(spark, latin())).withColumnRenamed("rows", "docs")
 
 
 @query(f"{oracle.paths(ITEMS, latin())} SELECT id, sum((wid >= {UNKNOWN_BASE})::INTEGER)::BIGINT AS unknown, count(*) AS words FROM tok GROUP BY id")
@@ -408,6 +416,19 @@ def q_dominated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.undominated_terms(terms.unionByName(variants), latin()).select("surface", "left_id", "right_id", "word_cost")
 
 
+@query(
+    f"WITH terms AS (SELECT category_id, left_id, right_id, min(word_cost) AS word_cost FROM {oracle.unknown_sql(latin())} GROUP BY ALL), every AS (SELECT * FROM terms UNION ALL SELECT category_id, (left_id + 2) % 4, right_id, word_cost + 400 FROM terms), mat AS (SELECT * FROM {oracle.matrix_sql(latin())}), "
+    "pair AS (SELECT t.category_id, t.right_id, t.left_id AS tl, o.left_id AS ol, bool_and(a.cost + o.word_cost <= b.cost + t.word_cost) AS below, bool_and(a.cost + o.word_cost = b.cost + t.word_cost) AS same "
+    "FROM every t JOIN every o ON o.category_id = t.category_id AND o.right_id = t.right_id AND o.left_id <> t.left_id JOIN mat a ON a.left_id = o.left_id JOIN mat b ON b.left_id = t.left_id AND b.right_id = a.right_id GROUP BY ALL) "
+    "SELECT category_id, left_id, right_id, word_cost FROM every e WHERE NOT EXISTS (SELECT 1 FROM pair p WHERE p.category_id = e.category_id AND p.right_id = e.right_id AND p.tl = e.left_id AND below AND (NOT same OR ol < tl))"
+)
+def q_dominated_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown entries of each category, and dearer variants of them, without those that no best path can take."""
+    terms = latin().tables(spark)["unknown"].groupBy("category_id", "left_id", "right_id").agg(F.min("word_cost").alias("word_cost"))
+    variants = terms.select("category_id", ((F.col("left_id") + 2) % 4).alias("left_id"), "right_id", (F.col("word_cost") + 400).alias("word_cost"))
+    return lattice.undominated_terms(terms.unionByName(variants), latin(), on="category_id").select("category_id", "left_id", "right_id", "word_cost")
+
+
 # -- pages and streams
 
 
@@ -418,8 +439,15 @@ def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "text", Tokenizer(spark, latin()).tokenize_count("text").alias("words"))
 
 
-@query()
+PROPS = "SELECT row_number() OVER () AS id, props AS t FROM (SELECT DISTINCT props FROM events WHERE props IS NOT NULL)"
+
+
+@query(
+    f"{oracle.paths(PROPS, latin())}, counted AS (SELECT src.t, count(tok.id) AS n FROM src LEFT JOIN tok USING (id) GROUP BY ALL) "
+    "SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS rows, sum(n)::BIGINT AS words FROM events LEFT JOIN counted ON t = props GROUP BY ALL"
+)
 def q_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of event properties in windows of one hour, by event type; streams take the same column and plan."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return windowed_counts(events, Tokenizer(spark, latin()), time="ts", text="props", window="1 hour", by="event_type")
+    counts = windowed_counts(events, Tokenizer(spark, latin()), time="ts", text="props", window="1 hour", by="event_type")
+    return counts.withColumn("window_start", F.unix_timestamp("window_start"))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 import __spark_entry__
@@ -34,7 +36,12 @@ def test_documents_equal_brute_force(spark):
     kernel = Kernel(compile_dictionary(latin()))
     assert {i: kernel.count(t) for i, t in texts.items()} == counts
     frequency = catalogue.q_token_freq(spark, SF).collect()
-    assert sum(r["n"] for r in frequency) == sum(counts.values())
+    plain, docs = Counter(), Counter()
+    for t in texts.values():
+        found = Counter((t[a:b], w >= 1 << 31) for a, b, w, _ in kernel.tokenize(t))
+        plain.update(found)
+        docs.update(found.keys())
+    assert {(r["surface"], r["is_unknown"]): (r["n"], r["docs"]) for r in frequency} == {k: (n, docs[k]) for k, n in plain.items()}
     lines = {r["id"]: r["words"] for r in catalogue.q_line_counts(spark, SF).collect()}
     assert lines == {i: sum(kernel.count(x) for x in t.split("\n")) for i, t in texts.items()}
 
