@@ -3,16 +3,16 @@
 A legal conversation is an optional system turn, then user and assistant in turn, and ends with the assistant. Each
 turn may keep its role (free), take another one (RELABEL; FILL if its own is unknown), join the turn before it of the
 same role (MERGE), or come after empty turns that are put in (INSERT each; also at the end). Dynamic programming over
-the automaton's states (the role of the last turn) finds the repair of least total cost; on equal costs an earlier
-choice in the list keep-or-relabel, merge, insert wins, from the end backwards, by the order start, system, user,
-assistant of the states.
+the automaton's states (the role of the last turn) finds the repair of least total cost. On equal costs the first state in
+the order start, system, user, assistant wins, between parts (below) first and then from a part's end backwards.
 
 The cost of any run of turns is a small min-plus matrix between states, so a conversation is worked on in parts of at
-most PART turn numbers: parts give matrices, the walk over a conversation's matrices gives each part its states, and
-parts render by themselves. No task holds more than one part of a conversation, however long.
+most PART turn numbers, and of about twice as many rows where turn numbers repeat: parts give matrices, the walk over a
+conversation's matrices gives each part its states, and parts render by themselves. No task holds more than one part of
+a conversation, however long.
 
-Defined results: turns are ordered by number, then role and text (nulls first); repeated rows are turns of their own;
-null turn numbers come first, in part 0; null texts are empty; roles are compared in lower case without outer spaces;
+Defined results: turns are ordered by number, null ones just before 0; those of one number by a hash of role and text, then role and
+text; repeated rows are turns of their own (equal ones stay in one part); null texts are empty; roles are compared in lower case without outer spaces;
 a null conversation id is an id like any other; an empty table gives an empty result.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .graph import join_hot
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -180,10 +181,25 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
 
     cost is that of the whole conversation; the texts of its parts, in order, join to its rendered form.
     """
-    own = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
-    number = F.coalesce(F.floor(F.col("t.turn") / F.lit(part)), F.lit(0)).cast("bigint")
-    parts = materialize(own.groupBy("conv_id", number.alias("at")).agg(F.sort_array(F.collect_list("t")).alias("turns")), "chats")
-    # role names only; then 16 numbers for up to `part` turns
+    tie = F.xxhash64(F.col(role_col), F.col(text_col))
+    own = turns.select(
+        F.col(conv_col).alias("conv_id"), F.coalesce(F.floor(F.col(turn_col) / F.lit(part)), F.lit(0)).cast("bigint").alias("block"), F.struct(F.col(turn_col).alias("turn"), tie.alias("tie"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t")
+    )
+    # the blocks of turn numbers with many rows fall apart further, by turn and range of the tie
+    sizes = materialize(own.groupBy("conv_id", "block").agg(F.count("*").alias("rows"), F.count("*").alias("n")).where(F.col("n") > 2 * part), "blocks")
+    crowded = sizes.select(F.struct("conv_id", "block").alias("k"), "rows", "n")
+    keyed = own.withColumn("k", F.struct("conv_id", "block"))
+    if crowded.isEmpty():
+        placed = own.withColumn("sub", F.lit(0).cast("bigint"))
+    else:
+        slots = F.ceil(F.col("n") / F.lit(2 * part))
+        share = F.least(F.floor((F.col("t.tie").cast("double") / F.lit(float(1 << 64)) + 0.5) * slots), slots - 1)  # grows with the tie
+        sub = F.coalesce(F.col("t.turn") - F.col("block") * part, F.lit(-1)) * (slots + 1) + share
+        few = join_hot(keyed, crowded, ["k"], "rows", own.count()).withColumn("sub", sub.cast("bigint"))
+        rest = keyed.join(crowded.select("k"), "k", "left_anti").withColumn("sub", F.lit(0).cast("bigint"))
+        placed = few.drop("k", "n").unionByName(rest.drop("k"))
+    parts = materialize(placed.groupBy("conv_id", F.struct("block", "sub").alias("at")).agg(F.sort_array(F.collect_list("t")).alias("turns")), "chats")
+    # role names only; then 16 numbers for each part
     small = parts.select("conv_id", "at", F.arrow_udf(matrices, "array<bigint>")(F.col("turns.role")).alias("m"))
     whole = small.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("p"))
     plan = whole.select("conv_id", "p", F.arrow_udf(plans, "struct<cost:bigint,states:array<int>>")(F.col("p.m")).alias("plan"))

@@ -71,6 +71,23 @@ def test_conversations(spark):
     assert all(legal(v[0]) and v[0].count("<|end|>") == v[2] for v in pieces.values())
 
 
+def test_crowded_turn_numbers(spark):
+    """Many rows of one turn number, null ones too, in parts: the same text as in one."""
+    rng = random.Random(5)
+    rows = [(1, rng.choice([None, 0, 0, 3, 700]), rng.choice(["user", "assistant", "system", None]), f"t{i}") for i in range(500)] + [(2, i, "user", "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    whole = sorted(format_chats(df, part=1000).collect(), key=lambda r: (r["conv_id"], r["part"]))
+    assert len(whole) == 2
+    parts = sorted(format_chats(df, part=8).collect(), key=lambda r: (r["conv_id"], r["part"]))
+    assert len(parts) > 30 and max(r["turns_in"] for r in parts) < 60
+    for c in (1, 2):
+        own = [r for r in parts if r["conv_id"] == c]
+        text, once = ("".join(r["rendered"] for r in some if r["conv_id"] == c) for some in (parts, whole))
+        said = lambda t: [x for x in t.split("\n") if x[:1] in ("t", "x")]
+        assert legal(text) and said(text) == said(once) and text.count("<|end|>") == sum(r["turns_out"] for r in own)
+        assert {r["cost"] for r in own} == {r["cost"] for r in whole if r["conv_id"] == c} and sum(r["turns_in"] for r in own) == sum(r[0] == c for r in rows)
+
+
 def test_odd_rows(spark):
     schema = "conv_id bigint, turn bigint, role string, text string, cost string, part int"
     rows = [(1, None, None, None, "x", 1), (1, 5, "user", "u", "x", 1), (1, 5, "user", "u", "x", 1), (None, 0, "assistant", "z", None, None), (2, 10**12, "tool", "x" * 50_000, None, None)]
