@@ -18,6 +18,7 @@ classes every score is the prior (0 without any); duplicated rows score alike; a
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -44,6 +45,10 @@ MEMO_UNITS = 200_000
 CHUNK = 1024
 
 
+#: Marks around words; others are taken off one by one.
+_MARKS = ".,;:!?\"'()#$%&*-|"
+
+
 def unit_pieces(token: str) -> list[str]:
     """A token without outer punctuation, in pieces if it is long; with inner punctuation, its letters and digits alone too."""
     if not (token[:1].isalnum() and token[-1:].isalnum()):
@@ -63,19 +68,15 @@ def _pieces(token: str) -> list[str]:
     return [token[i : i + UNIT_CHARS] for i in range(0, len(token) - UNIT_CHARS // 2, UNIT_CHARS // 2)]
 
 
+#: Three or more single letters or digits between spaces, single marks among them passed over.
+_SPACED = re.compile(r"(?<= )(?:[^\W_] (?:[\W_] )*){3,}")
+
+
 def tokens(text: str) -> set[str]:
     """Distinct words in lower case, and each run of three or more single characters as one token."""
     words = text.lower().split()
     out = set(words)
-    if sum(map(len, out)) and min(map(len, out)) == 1:
-        run: list[str] = []
-        for w in [*words, "  "]:
-            if len(w) == 1 and w.isalnum():
-                run.append(w)
-            elif len(w) > 1 or not run:
-                if len(run) > 2:
-                    out.add("".join(run))
-                run = []
+    out.update("".join(filter(str.isalnum, run)) for run in _SPACED.findall(f" {' '.join(words)} "))
     return out
 
 
@@ -314,11 +315,14 @@ class Scorer:
                 else:
                     new.append(t)
         if new:
-            pieces = [unit_pieces(t) for t in new]
-            strings = sorted({p for own in pieces for p in own if len(p) >= ORDER})
+            bare = [t.strip(_MARKS) for t in new]  # most tokens are one short word
+            plain = [p.isalnum() and len(p) <= UNIT_CHARS for p in bare]
+            pieces = {t: unit_pieces(t) for t, one in zip(new, plain, strict=True) if not one}
+            strings = sorted({p for p, one in zip(bare, plain, strict=True) if one and len(p) >= ORDER} | {p for own in pieces.values() for p in own if len(p) >= ORDER})
             margin = dict(zip(strings, self.model.margins(strings).tolist(), strict=True))
-            for t, own in zip(new, pieces, strict=True):
-                memo[t] = max((margin.get(p, self.none) for p in own), default=self.none)
+            get, none = margin.get, self.none
+            memo.update((t, get(p, none)) for t, p, one in zip(new, bare, plain, strict=True) if one)
+            memo.update((t, max((get(p, none) for p in own), default=none)) for t, own in pieces.items())
         return np.array([max(map(memo.__getitem__, own), default=self.none) for own in found])
 
 

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from seglattice.llm.toxicity import DECAY, ORDER, Model, drop_toxic, fit, kernel, raw_kernel, matrix, toxicity, train, units
+from seglattice.llm.toxicity import DECAY, ORDER, Model, Scorer, drop_toxic, fit, kernel, raw_kernel, matrix, toxicity, train, units
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,12 +43,20 @@ def test_margins_equal_the_landmark_sum():
 
 def test_units():
     assert units("The (Idiot), bc! w-o-w --") == {"the", "idiot", "bc", "w-o-w", "wow"}
-    assert "idiot" in units("an i d i o t yes") and "idiot" in units("i d i o t")
+    assert "idiot" in units("an i d i o t yes") and "idiot" in units("an i . d i * o t") and "idiot" in units("i d i o t")
+    assert "ab" not in units("a b cd") and "abc" in units("x-y a b c de")
     assert units(None) == units("") == units(" .. !") == set()
     long = "".join(chr(97 + i % 26) for i in range(100))
     assert all(any(long[i : i + 12] in u for u in units(long)) for i in range(88))
 
 
+def test_scorer_takes_the_largest_margin_of_all_units():
+    model = Model(["idiot", "banana", "ñandú"], np.array([1.5, -0.7, 0.3]), -0.2, 1.0, 0.0)
+    texts = ["the (idiot)!", "a - b", "id-iot, ban", "«ñandú» x", "i d i o t", "x" * 60 + "idiot", "", "__ ..", "$$$banana### 7"]
+    want = [max(model.margins(sorted(units(t))).tolist(), default=model.bias) for t in texts]
+    np.testing.assert_allclose(Scorer(model).margins(texts), want)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
@@ -75,8 +83,6 @@ def test_disguised_insults():
     clean = [f"the tree of thing{i} andre stood there{i % 7}" for i in range(300)]
     toxic = [f"the tree {w} thing{i}" for i, w in enumerate(["idiot", "moronic", "pathetic", "worthless"] * 30)]
     model = fit([(t, 0) for t in clean] + [(t, 1) for t in toxic])
-    from seglattice.llm.toxicity import Scorer
-
     p = model.probability(Scorer(model).margins(["an idiot here", "i d i o t", "path-etic!", "worthxless", "the tree", "", None]))
     assert (p[:4] > 0.5).all() and (p[4:] < 0.5).all()
 
