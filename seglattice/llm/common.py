@@ -36,6 +36,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> bool:
+    """Delete what this application has written to the shared folder; for when its results have been read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, whatever its case."""
     have, name = {c.lower() for c in df.columns}, f"_{stem}"
