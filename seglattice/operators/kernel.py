@@ -20,8 +20,8 @@ import numpy as np
 from ..schema import BEGIN_ID, FALLBACK_COST, FALLBACK_FEATURE, OUTSIDE_COST, UNKNOWN_BASE, USER_BASE, DictionaryError
 from ..sources.dictionary import Dictionary
 
-#: Remembered pieces, and their greatest length.
-MEMO_PIECES, MEMO_CHARS = 300_000, 64
+#: Remembered pieces in each of two generations, their greatest length, and remembered fronts.
+MEMO_PIECES, MEMO_CHARS, MEMO_FRONTS = 200_000, 64, 200_000
 
 #: A word on a path: first and end character in its piece, word id, cost since the piece's front.
 Step = tuple[int, int, int, int]
@@ -92,6 +92,7 @@ class Kernel:
     def __init__(self, compiled: Compiled):
         self.d = compiled
         self.memo: dict[tuple[int, str], tuple] = {}
+        self.older: dict[tuple[int, str], tuple] = {}
         self.fronts: dict[tuple, int] = {}
         self.made: dict[tuple[int, int], list] = {}
         self.front_list: list[tuple] = []
@@ -105,6 +106,7 @@ class Kernel:
 
     def _reset(self) -> None:
         self.memo.clear()
+        self.older.clear()
         self.fronts.clear()
         self.front_list.clear()
         self.begin = self._front(((0, 0, BEGIN_ID, 0),))
@@ -248,8 +250,10 @@ class Kernel:
 
     def _through(self, text: str) -> tuple[list[tuple[int, int, list]], int]:
         """For each piece its offset, the least cost to it and its paths; and the item of the last front to go back from."""
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.front_list) > MEMO_FRONTS:
             self._reset()
+        elif len(self.memo) > MEMO_PIECES:
+            self.older, self.memo = self.memo, {}
         at, total, front, trail, memo = 0, 0, self.begin, [], self.memo
         cuts, sets = self.cuts(text)
         for end in cuts:
@@ -257,7 +261,9 @@ class Kernel:
             key = (front, piece)
             found = memo.get(key)
             if found is None:
-                found = self.piece(front, piece, sets[at:end].tolist())
+                found = self.older.get(key)
+                if found is None:
+                    found = self.piece(front, piece, sets[at:end].tolist())
                 if end - at <= MEMO_CHARS:
                     memo[key] = found
             trail.append((at, total, found[2]))

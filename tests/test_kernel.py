@@ -137,9 +137,11 @@ def test_long_runs():
     assert "".join(text[a:b] for a, b, _, _ in kernel.tokenize(text)) == text
 
 
-def test_a_full_memory_starts_again(monkeypatch):
-    monkeypatch.setattr("seglattice.operators.kernel.MEMO_PIECES", 5)
+@pytest.mark.parametrize("limit", ["MEMO_PIECES", "MEMO_FRONTS"])
+def test_a_full_memory_starts_again(monkeypatch, limit):
+    monkeypatch.setattr(f"seglattice.operators.kernel.{limit}", 5)
     kernel = Kernel(compile_dictionary(COMPAT))
     for i in range(60):
-        text = f"東京{i} 京都{i}に"
+        text = f"東京{i} 京都{i % 7}に"
         assert kernel.tokenize(text) == naive.tokenize(COMPAT, text)
+        assert kernel.count(text) == len(kernel.tokenize(text))
