@@ -99,11 +99,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, the one of least id, with all its columns."""
-    found = near_duplicates(docs, id_col, text_col)
-    mark = fresh(docs, "kept")
-    kept = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(mark)).agg(F.count("*").alias("rows")), "kept")
-    # always a shuffle by id: ids are spread evenly, and what is kept is no small table
-    out = docs.join(kept.select(mark).hint("shuffle_hash"), F.col(quoted(id_col)).eqNullSafe(F.col(mark)), "left_semi")
-    # ids that several rows of one group share: one of those rows stays
-    return out if kept.where("rows > 1").isEmpty() else out.dropDuplicates([id_col])
+    """One row of each group of near-duplicates, one of least id (null ids come last), with all its columns."""
+    # id and text hash name a row up to copies, which are of one group; an id alone may be null or shared
+    name, body = fresh(docs, "id"), fresh(docs, "body")
+    prints = materialize(docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("body"), simhash(F.col(quoted(text_col))).alias("fp")), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first")
+    nodes = materialize(prints.groupBy("fp").agg(first), "nodes")
+    labels = components(links(nodes.select("fp")))
+    known = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("first", F.coalesce("label", "fp").alias("label"))
+    kept = materialize(known.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias(name), F.col("first.body").alias(body)), "kept")
+    # always a shuffle by id and text: they are spread evenly, and what is kept is no small table
+    marked = docs.withColumn(fresh(docs, "text_hash"), F.xxhash64(F.col(quoted(text_col))))
+    same = F.col(quoted(id_col)).eqNullSafe(F.col(name)) & (F.col(quoted(fresh(docs, "text_hash"))) == F.col(body))
+    out = marked.join(kept.hint("shuffle_hash"), same, "left_semi")
+    copies = prints.groupBy("id", "body").agg(F.count("*").alias("n")).where("n > 1").select("id", "body")
+    again = copies.join(kept, copies["id"].eqNullSafe(kept[name]) & (copies["body"] == kept[body]), "left_semi")
+    # copies of a kept row: one stays
+    return (out if again.isEmpty() else out.dropDuplicates([id_col, fresh(docs, "text_hash")])).select(*map(quoted, docs.columns))

@@ -98,3 +98,12 @@ def test_odd_rows(odd_docs, no_docs):
     kept = drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in kept.collect()) == sorted([(False, 0)] + [(True, i) for i in (0, 3, 4, 6, 7, 8, 9, 10, 11)])
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(random.Random(k).sample(words, 60)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (7, texts[5]), (8, texts[6]), (9, texts[7]), (9, texts[7]), (None, texts[7])]
+    kept = [(r[0], r[1]) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5]), (8, texts[6]), (9, texts[7])]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
