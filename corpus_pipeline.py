@@ -28,8 +28,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of least id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, that of least id: fingerprints of op2, or 0.8 of five-word shingles."""
+    return simhash.drop_near_duplicates(docs, width=5, similarity=0.8)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, quoted
 from .graph import components, join_hot
+from .jaccard import shingle_sets, similar, sketch
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Largest bucket whose members are compared pair by pair.
@@ -98,21 +99,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_hot(prints, materialize(owner, "owners"), ["fp"], "n", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, one of least id (null ids come last), with all its columns."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates, one of least id (null ids come last), with all its columns.
+
+    With a width, texts whose sets of shingles of that many words are similar (Jaccard) are linked besides those whose
+    fingerprints are.
+    """
     # id and text hash name a row up to copies, which are of one group; an id alone may be null or shared
-    name, body = fresh(docs, "id"), fresh(docs, "body")
-    prints = materialize(docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("body"), simhash(F.col(quoted(text_col))).alias("fp")), "prints")
+    name, body, text_hash = fresh(docs, "id"), fresh(docs, "body"), fresh(docs, "text_hash")
+    text = F.col(quoted(text_col))
+    prints = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("body"), simhash(text).alias("fp"), *([sketch(text, width).alias("s")] if width else []))
+    prints = materialize(prints.select("id", "body", "fp", *(["s.key", "s.bands"] if width else [])), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first")
     nodes = materialize(prints.groupBy("fp").agg(first), "nodes")
-    labels = components(links(nodes.select("fp")))
+    edges = links(nodes.select("fp"))
+    if width:
+        edges = edges.unionByName(_similar_prints(docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text")), prints, width, similarity))
+    labels = components(edges)
     known = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("first", F.coalesce("label", "fp").alias("label"))
     kept = materialize(known.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias(name), F.col("first.body").alias(body)), "kept")
     # always a shuffle by id and text: they are spread evenly, and what is kept is no small table
-    marked = docs.withColumn(fresh(docs, "text_hash"), F.xxhash64(F.col(quoted(text_col))))
-    same = F.col(quoted(id_col)).eqNullSafe(F.col(name)) & (F.col(quoted(fresh(docs, "text_hash"))) == F.col(body))
-    out = marked.join(kept.hint("shuffle_hash"), same, "left_semi")
+    same = F.col(quoted(id_col)).eqNullSafe(F.col(name)) & (F.col(text_hash) == F.col(body))
+    out = docs.withColumn(text_hash, F.xxhash64(text)).join(kept.hint("shuffle_hash"), same, "left_semi")
     copies = prints.groupBy("id", "body").agg(F.count("*").alias("n")).where("n > 1").select("id", "body")
     again = copies.join(kept, copies["id"].eqNullSafe(kept[name]) & (copies["body"] == kept[body]), "left_semi")
     # copies of a kept row: one stays
-    return (out if again.isEmpty() else out.dropDuplicates([id_col, fresh(docs, "text_hash")])).select(*map(quoted, docs.columns))
+    return (out if again.isEmpty() else out.dropDuplicates([id_col, text_hash])).select(*map(quoted, docs.columns))
+
+
+def _similar_prints(docs: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts with similar sets of shingles; docs: (id, text)."""
+    first = F.min(F.struct("id", "body", "fp")).alias("first")
+    keys = materialize(prints.groupBy("key").agg(first, F.any_value("bands").alias("bands")).select("key", "bands", "first.*"), "keys")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of some keys, each from one row of docs."""
+        at = keys.join(wanted, "key", "left_semi").select("key", F.col("id").alias("_id"), F.col("body").alias("_body"))
+        held = docs.withColumn("body", F.xxhash64("text")).join(at.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
+        sets = materialize(held.select("key", shingle_sets(F.col("text"), width).alias("own")), "sets")
+        return sets if sets.count() == wanted.count() else materialize(sets.dropDuplicates(["key"]), "sets")
+
+    print_of = keys.select("key", "fp")
+    found = similar(keys.select("key", "bands"), sets_of, similarity)
+    found = found.join(print_of.withColumnsRenamed({"key": "a", "fp": "x"}), "a").join(print_of.withColumnsRenamed({"key": "b", "fp": "y"}), "b").select("x", "y")
+    # sets may be equal where fingerprints, which count repeated shingles, are not
+    alike = prints.select("key", F.col("fp").alias("y")).distinct().join(print_of.withColumnRenamed("fp", "x"), "key").select("x", "y")
+    return found.unionByName(alike).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

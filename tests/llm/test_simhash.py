@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpus_pipeline import near_duplicate_filter
 from seglattice.llm.graph import components
 from seglattice.llm.simhash import BITS, covering_masks, drop_near_duplicates, fingerprint, links, near_duplicates
 
@@ -107,3 +108,45 @@ def test_one_row_of_each_group_whatever_its_id(spark):
     kept = [(r[0], r[1]) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5]), (8, texts[6]), (9, texts[7])]
     assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
+def five_word_sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
+
+
+def alike(a, b):
+    return a == b or len(a & b) / len(a | b) >= 0.8
+
+
+def test_stage_drops_all_similar_by_five_words(spark):
+    rng, words = random.Random(3), [f"w{i}" for i in range(3000)]
+    base = rng.sample(words, 200)
+    texts = ["", None, "one two", "one two", "one three"]
+    for n in range(120):  # a large group: each shares 0.8 or more with the first, few with each other
+        copy = list(base)
+        for at in rng.sample(range(200), 1 + n % 4):
+            copy[at] = f"x{n}.{at}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(base))
+    for n in range(40):  # pairs around the bound
+        own = rng.sample(words, 100)
+        copy = list(own)
+        for at in rng.sample(range(100), 1 + n % 5):
+            copy[at] = f"y{n}.{at}"
+        texts += [" ".join(own), " ".join(copy)]
+    rng.shuffle(texts)
+    sets, prints = [five_word_sets(t) for t in texts], [slow(t) for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if alike(sets[a], sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2]
+    want = sorted({d for d, root in union(range(len(texts)), near).items() if d == root})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in near_duplicate_filter(spark, docs, "").collect()) == want
+
+
+def test_no_similar_pair_of_documents_passes_the_stage(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets, prints = {d: five_word_sets(t) for d, t in texts.items()}, {d: slow(t) for d, t in texts.items()}
+    near = [(a, b) for a, b in combinations(sorted(texts), 2) if (prints[a] ^ prints[b]).bit_count() <= 2 or (0.8 * len(sets[a]) <= len(sets[b]) <= 1.25 * len(sets[a]) and alike(sets[a], sets[b]))]
+    want = sorted({d for d, root in union(texts, near).items() if d == root})
+    assert sorted(r["doc_id"] for r in near_duplicate_filter(spark, docs, "").collect()) == want
