@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -11,12 +11,15 @@ from .common import materialize
 HOT_SHARE = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, *, share: int = HOT_SHARE, fits: Column | None = None) -> DataFrame:
     """Inner join with right, unique on its keys and telling in column `rows` how many of left's total rows each key has.
 
-    Hot keys, at most HOT_SHARE of them, are broadcast; the rest are shuffled.
+    Hot keys, at most `share` of them, are broadcast; the rest are shuffled. fits: which rows of right are narrow
+    enough for that, where they are not all.
     """
-    hot = F.col(rows) * HOT_SHARE > total
+    hot = F.col(rows) * share > total
+    if fits is not None:
+        hot = hot & fits
     few = F.broadcast(right.where(hot).drop(rows))
     return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(rows), on))
 

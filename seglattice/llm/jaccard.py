@@ -4,11 +4,12 @@ Texts with equal sets share a key. Candidates come from MinHash: BANDS bands of
 similarity s shares no band with probability (1 - s^ROWS)^BANDS, 5e-8 at 0.8; every candidate is then held against the
 exact sets of shingle hashes, so no pair below the similarity is linked.
 
-Within a band, up to PAIRS members are compared pair by pair. In a larger bucket pivots are compared with all members
-that no path joins to them yet, first the member that shares the most bands with others (the original of a group of
-copies), then ever more at a time, until one component is left or every member has been a pivot. Nothing is capped: a
-group of near copies takes a few rounds of its size, and only a large bucket of texts that are not similar enough to
-each other takes all its pairs.
+Within a band, up to PAIRS members are compared pair by pair. In a larger bucket the member that shares the most bands
+with others (the original of a group of copies) is compared with all others; most groups are one component then. What
+a path does not join yet is compared by an exact prefix filter: the shingles of these buckets' members are ordered by
+rarity, two sets of the similarity share one of their rarest (of the n shingles of a set, n - ceil(similarity * n) + 1),
+and where that one stands bounds how many they can share. So nothing is capped, and members that differ by shingles of
+their own meet nobody; only a large bucket of texts that share rare shingles and are yet not similar takes many pairs.
 
 Words and short texts are those of the fingerprint; a text without words has the empty set, similar to its like only.
 """
@@ -32,8 +33,10 @@ BANDS, ROWS = 32, 4
 PAIRS = 32
 #: Shingles whose minima are taken at a time.
 CHUNK = 1 << 12
-#: Pivots of a bucket grow by this factor from round to round.
-GROW = 4
+#: Members with one shingle that a task compares with all others of it.
+BLOCK = 4096
+#: Shingles of a set up to which it may be broadcast, if more than 1 / HOT_SETS of all pairs need it.
+SMALL_SET, HOT_SETS = 1 << 14, 256
 
 _RANDOM = np.random.default_rng(SEED)
 _MIX, _ODD = (_RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
@@ -90,14 +93,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """The pairs (a, b) of keys whose sets are similar."""
     out = pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     total = pairs.count()
+    if not total:
+        return pairs
     for side in ("a", "b"):
+        own = F.col(f"own_{side}")
         uses = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        out = join_hot(out, materialize(sets.select(F.col("key").alias(side), F.col("own").alias(f"own_{side}")).join(uses, side), "sides"), [side], "n", total)
+        needed = materialize(sets.select(F.col("key").alias(side), F.col("own").alias(f"own_{side}")).join(uses, side), "sides")
+        out = join_hot(out, needed, [side], "n", total, share=HOT_SETS, fits=F.size(own) <= SMALL_SET)
     a, b, both = F.size("own_a"), F.size("own_b"), F.size(F.array_intersect("own_a", "own_b"))
     near = (F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6) & (both / (a + b - both) >= similarity)
     return materialize(out.where(near).select("a", "b"), "similar")
 
 
+def rare_shingles(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, n, key, label, place, size): the rarest shingles of each member (key, label) that n > 1 members have.
+
+    A pair of sets of the similarity shares at least one of them.
+    """
+    held = materialize(sets.join(members, "key").select("key", "label", F.size("own").alias("size"), F.explode("own").alias("token")), "shingles")
+    counts = materialize(held.groupBy("token").agg(F.count("*").alias("n")), "rarity")
+    ranked = join_hot(held, counts.withColumn("df", F.col("n")), ["token"], "n", held.count())
+    size = F.col("size")
+    upto = size - F.ceil(size * similarity - 1e-6).cast("int") + 1
+    rarest = ranked.groupBy("key", "label", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "token"))), F.lit(1), upto).alias("own"))
+    each = rarest.select("key", "label", "size", F.posexplode("own").alias("place", "t"))
+    return each.select("t.token", F.col("t.df").alias("n"), "key", "label", "place", "size").where("n > 1")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of every two members (key, label) of different labels whose sets may be similar."""
+    rare = materialize(rare_shingles(members, sets, similarity), "rare")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = rare.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    right = rare.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left, right = (d.select("token", "block", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "label", "place", "size"))) for d, side in ((left, "a"), (right, "b")))
+    small, great = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    # no shingle before this one in either order is common to both, if it is the first that is
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = most + 1e-6 >= (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity))
+    may = (F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b")) & (small >= great * similarity - 1e-6) & enough
+    on = (left["token"] == right["token"]) & (left["block"] == right["block"]) & may
+    return left.join(right, on).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
 def similar(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Edges (a, b) between keys; keys: (key, bands), distinct; sets_of: from some keys to their sets, (key, own)."""
     members = keys.select("key", F.explode("bands").alias("band"))
@@ -105,26 +143,19 @@ def similar(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
     shared = materialize(join_hot(members, buckets.withColumn("size", F.col("n")), ["band"], "n", keys.count() * BANDS), "members")
     sets = sets_of(materialize(shared.select("key").distinct(), "wanted"))
     small, large = shared.where(F.col("size") <= PAIRS), shared.where(F.col("size") > PAIRS)
-    edges = _verified(small.select("band", F.col("key").alias("a")).join(small.select("band", F.col("key").alias("b")), "band").where("a < b"), sets, similarity)
+    pairs = small.select("band", F.col("key").alias("a")).join(small.select("band", F.col("key").alias("b")), "band").where("a < b").select("a", "b")
     if large.isEmpty():
-        return edges
+        return _verified(pairs, sets, similarity)
+    # the originals of large buckets
     reach = large.groupBy("key").agg(F.sum("size").alias("reach"))
-    large = materialize(large.join(reach, "key").select("band", "key", "reach", F.lit(False).alias("used")), "large")
-    turn = 0
-    while True:
-        labels = components(edges)
-        live = large.join(labels, large["key"] == labels["node"], "left").select("band", "key", "reach", "used", F.coalesce("label", "key").alias("label"))
-        live = materialize(live, "live")
-        still = live.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "n")
-        live = materialize(join_hot(live, materialize(still, "still"), ["band"], "n", live.count()), "open")
-        part = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(GROW**turn))
-        chosen = live.where("not used").groupBy("band", part.alias("part")).agg(F.max(F.struct("reach", "key", "label")).alias("top"))
-        pivots = materialize(chosen.groupBy("band").agg(F.collect_list(F.struct("top.key", "top.label")).alias("pivots"), F.count("*").alias("chosen")), "pivots")
-        if pivots.isEmpty():
-            return edges
-        sizes = live.groupBy("band").agg(F.count("*").alias("n"))
-        live = materialize(join_hot(live, materialize(pivots.join(sizes, "band"), "sized"), ["band"], "n", live.count()), "rounds")
-        met = live.select("key", "label", F.explode("pivots").alias("p")).where("label <> p.label").select(F.col("key").alias("a"), F.col("p.key").alias("b"))
-        edges = materialize(edges.unionByName(_verified(met, sets, similarity)).distinct(), "edges")
-        large = live.select("band", "key", "reach", (F.col("used") | F.array_contains(F.transform("pivots", lambda p: p["key"]), F.col("key"))).alias("used"))
-        turn += 1
+    large = materialize(large.join(reach, "key"), "large")
+    sizes = large.groupBy("band").agg(F.max("size").alias("n"), F.max(F.struct("reach", "key"))["key"].alias("pivot"))
+    met = join_hot(large.select("band", "key"), materialize(sizes, "pivots"), ["band"], "n", large.count())
+    edges = _verified(pairs.unionByName(met.select(F.col("key").alias("a"), F.col("pivot").alias("b"))), sets, similarity)
+    # buckets that are not one component yet
+    labels = components(edges)
+    live = large.join(labels, large["key"] == labels["node"], "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    live = materialize(live, "live")
+    open_ = live.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "n")
+    left = join_hot(live, materialize(open_, "open"), ["band"], "n", live.count()).select("key", "label").distinct()
+    return edges.unionByName(_verified(_prefix_pairs(materialize(left, "left"), sets, similarity), sets, similarity))

@@ -484,7 +484,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.memo, self.old = model, {}, {}
         self.primal = model.primal() if model.landmarks else None
-        self.none = float(model.bias)
+        self.none = round(float(model.bias), 4)
 
     def margins(self, texts: Iterable[str | None]) -> np.ndarray:
         if len(self.memo) > MEMO_UNITS:
@@ -502,7 +502,8 @@ class Scorer:
             plain = [p.isalnum() and len(p) <= UNIT_CHARS for p in bare]
             pieces = {t: unit_pieces(t) for t, one in zip(new, plain, strict=True) if not one}
             strings = sorted({p for p, one in zip(bare, plain, strict=True) if one and len(p) >= ORDER} | {p for own in pieces.values() for p in own if len(p) >= ORDER})
-            margin = dict(zip(strings, self.model.margins(strings, self.primal).tolist(), strict=True))
+            # rounded, so that a unit has one margin in every batch
+            margin = dict(zip(strings, self.model.margins(strings, self.primal).round(4).tolist(), strict=True))
             get, none = margin.get, self.none
             memo.update((t, get(p, none)) for t, p, one in zip(new, bare, plain, strict=True) if one)
             memo.update((t, max((get(p, none) for p in own), default=none)) for t, own in pieces.items())

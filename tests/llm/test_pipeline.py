@@ -1,3 +1,6 @@
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -7,7 +10,7 @@ from seglattice.llm import quality, toxicity
 
 from .test_bpe import digests
 from .test_decontam import brute
-from .test_simhash import slow, union
+from .test_simhash import alike, five_word_sets, slow, union
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,11 +19,18 @@ def test_stages_equal_brute_force(spark):
     docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     tox, good = toxicity.train(docs, labels), quality.train(docs, labels)
-    top = {d: max(tox.margins(sorted(toxicity.units(t))).tolist(), default=tox.bias) for d, t in texts.items()}
-    clean = [d for d in texts if tox.probability(np.float64(top[d])) < 0.5]
+    primal = tox.primal()
+    margin = cache(lambda token: round(max(tox.margins(toxicity.unit_pieces(token), primal).tolist(), default=tox.bias), 4))
+
+    def tops(text):
+        own = {margin(t) for t in toxicity.tokens(text or "", tox.parts)}
+        return (sorted(own, reverse=True) + [toxicity.HELD[0]] * toxicity.TOP)[: toxicity.TOP]
+
+    clean = [d for d, t in texts.items() if tox.probability(np.array([tops(t)]))[0] < 0.5]
     fine = [d for d in clean if good.scores([texts[d]])[0] >= 0.5]
     prints = {d: slow(texts[d]) for d in fine}
-    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    sets = {d: five_word_sets(texts[d]) for d in fine}
+    near = [(a, b) for a, b in combinations(sorted(fine), 2) if (prints[a] ^ prints[b]).bit_count() <= 2 or (0.8 * len(sets[a]) <= len(sets[b]) <= 1.25 * len(sets[a]) and alike(sets[a], sets[b]))]
     own = {d for d, root in union(prints, near).items() if d == root}
     leaks = {r[0] for r in brute([(d, texts[d]) for d in own], [(r["item_id"], r["text"]) for r in bench.collect()]) if r[5]}
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -82,8 +82,8 @@ def test_scorer_takes_the_largest_margins_of_all_units():
     got = Scorer(model).margins(texts)
     for text, row in zip(texts, got):
         own = [max(model.margins(unit_pieces(t)).tolist(), default=model.bias) for t in tokens(text, model.parts)]
-        want = sorted(set(np.round(own, 6)), reverse=True)[:TOP] or [model.bias] * TOP
-        np.testing.assert_allclose(row, want + [HELD[0]] * (TOP - len(want)), atol=1e-5)
+        want = sorted(set(np.round(own, 4)), reverse=True)[:TOP] or [model.bias] * TOP
+        np.testing.assert_allclose(row, want + [HELD[0]] * (TOP - len(want)), atol=2e-4)
 
 
 @pytest.fixture(scope="module")
