@@ -45,17 +45,18 @@ if __name__ == "__main__":
     sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     from pyspark.sql import SparkSession
 
-    from seglattice.plans import catalogue
+    import __spark_entry__
 
+    queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    for name in sys.argv[2:] or catalogue.QUERIES:
+    for name in sys.argv[2:] or queries:
         start = time.time()
         try:
-            if name in catalogue.ORACLE_SQL:
-                said = compare(spark, name, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], sys.argv[1]) or "equal"
+            if name in oracles:
+                said = compare(spark, name, queries[name], oracles[name], sys.argv[1]) or "equal"
             else:
-                said = f"{catalogue.QUERIES[name](spark, sys.argv[1]).count()} rows"
+                said = f"{queries[name](spark, sys.argv[1]).count()} rows"
         except Exception as e:
             said = f"ERROR {str(e)[:600]}"
         print(f"{name}: {said} ({time.time() - start:.1f} s)", flush=True)
