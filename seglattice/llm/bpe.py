@@ -21,6 +21,7 @@ import json
 import re
 import struct
 import tempfile
+import uuid
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
@@ -566,14 +567,12 @@ def encoder_factory(spark: SparkSession, vocabulary_path: str, words: Iterable[s
     held = spark.sparkContext.broadcast(vocabulary)  # fixed by the vocabulary file
     words = list(dict.fromkeys(words))
     entries = {w: list(map(int, ids)) for w, ids in zip(words, vocabulary.merge_all(words), strict=True)}
-    with tempfile.TemporaryDirectory() as folder:
-        made = Path(folder, "lexicon")
-        Lexicon.compile(entries, str(made))
-        name = f"lexicon-{hashlib.sha256(made.read_bytes()).hexdigest()[:20]}"
-    # the driver serves the file to executors, present and future; its own copy lasts as long as the session
-    path = Path(tempfile.gettempdir()).resolve() / f"{name}-{spark.sparkContext.applicationId}"
-    if not path.exists():
-        Lexicon.compile(entries, str(path))
+    # the driver serves the file to executors, present and future; its name tells its content, and it appears complete
+    folder = Path(tempfile.gettempdir()).resolve()
+    made = folder / f"lexicon-{uuid.uuid4().hex}"
+    Lexicon.compile(entries, str(made))
+    path = folder / f"lexicon-{hashlib.sha256(made.read_bytes()).hexdigest()[:20]}-{spark.sparkContext.applicationId}"
+    made.replace(path)
     spark.sparkContext.addFile(str(path))
     file = path.name
 

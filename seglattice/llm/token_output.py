@@ -5,9 +5,11 @@ stably by the bits above gives; counts of ones before every block of 64 bits giv
 binary search. `access`, `count` and `locate` (occurrences of an id in a range) run on the planes; `decode` undoes the
 sorts, plane by plane, for whole shards. On disk each plane is compressed by itself; rank counts are rebuilt on load.
 
-`write_tokens` puts documents in ascending id order into range partitions, encodes each and writes segments of at most
-SEGMENT_TOKENS ids (one document at least) as rows (shard, segment, doc_ids, lengths, wavelet) of a Parquet folder in
-shared storage; `read_tokens` reads them back. A lost task repeats its own shard only.
+`write_tokens` puts documents in ascending id order into range partitions of about SHARD_BYTES of text, encodes each and
+writes segments of at most SEGMENT_TOKENS ids (one document at least) as rows (shard, segment, doc_ids, lengths,
+wavelet) of a Parquet folder in shared storage; `read_tokens` reads them back. Rows of one id, null among them, are
+ordered by a hash of their text and then by their number, so that a hot id is spread over shards like any other rows. A
+lost task repeats its own shard only.
 
 Defined results: null and empty texts have the end id alone; null document ids come first; repeated ids keep their
 rows, in any order among themselves; an empty table gives an empty folder; further columns do not matter.
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Encoder, Vocabulary, byte_chars, encoder_factory
-from .common import shared_dir, slices
+from .common import quoted, shared_dir, slices
 
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-#: Documents of a shard, on average.
-SHARD_DOCS = 8192
+#: Bytes of text of a shard, on average.
+SHARD_BYTES = 32 << 20
+#: Shards whose sizes are added up together, before those of groups are.
+GROUP = 1024
 _MAGIC = b"WVMX0001"
 
 
@@ -194,14 +198,15 @@ def segments_kernel(make: Callable[[], Encoder], end_id: int, segment_tokens: in
 
 
 def write_tokens(
-    docs: DataFrame, vocabulary_path: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_docs: int = SHARD_DOCS, segment_tokens: int = SEGMENT_TOKENS
+    docs: DataFrame, vocabulary_path: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, segment_tokens: int = SEGMENT_TOKENS
 ) -> None:
     """Encode every text, append the end id, and write the ids in ascending document order to a folder of segments."""
     spark = docs.sparkSession
     make = encoder_factory(spark, vocabulary_path, whole_words(vocabulary_path))
-    shards = max(1, -(-docs.count() // shard_docs))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    placed = own.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    own = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    size = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("row").asc()]
+    placed = own.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
     placed.mapInArrow(segments_kernel(make, end_id, segment_tokens), SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -241,12 +246,14 @@ def read_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in a folder of segments; start counts all ids before it."""
     stored = spark.read.schema(SEGMENTS).parquet(path)
-    # one row for each segment: a running total over at most SEGMENT_TOKENS-sized pieces of the corpus
+    # running totals of segments in a shard, of shards in a group and of groups, the last of one row for GROUP shards
     sizes = stored.select("shard", "segment", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda total, n: total + n).alias("size"))
-    per_shard = sizes.groupBy("shard").agg(F.sum("size").alias("size"))
-    shard_start = per_shard.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("shard_start"))
-    in_shard = F.sum("size").over(Window.partitionBy("shard").orderBy("segment")) - F.col("size")
-    base = sizes.withColumn("in_shard", in_shard).join(shard_start, "shard").select("shard", "segment", (F.col("in_shard") + F.col("shard_start")).alias("base"))
+    group = F.floor(F.col("shard") / GROUP).cast("int")
+    per_shard = sizes.groupBy("shard").agg(F.sum("size").alias("size")).withColumn("group", group)
+    before = lambda *keys: F.sum("size").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])) - F.col("size")
+    groups = per_shard.groupBy("group").agg(F.sum("size").alias("size")).select("group", before("group").alias("group_start"))
+    shard_start = per_shard.withColumn("in_group", before("group", "shard")).join(groups, "group").select("shard", (F.col("group_start") + F.col("in_group")).alias("shard_start"))
+    base = sizes.withColumn("in_shard", before("shard", "segment")).join(shard_start, "shard").select("shard", "segment", (F.col("in_shard") + F.col("shard_start")).alias("base"))
     read = stored.select("shard", "segment", "doc_ids", "lengths", "wavelet").mapInArrow(read_kernel, "shard int, segment int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
     return read.join(base, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 

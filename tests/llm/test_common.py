@@ -1,6 +1,8 @@
 import zlib
+from types import SimpleNamespace
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from seglattice.llm.common import crc_mod, fresh, materialize, quoted, release, shared_dir, slices
@@ -32,3 +34,14 @@ def test_slices_hold_every_row_in_order():
 def test_folds(spark):
     rows = spark.range(50).select("id", crc_mod(F.col("id"), 5).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    def session(master):
+        held = {}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: held.get(k, d), set=held.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
+    own = session("local[2]")
+    assert shared_dir(own).startswith("file:///") and shared_dir(own) == shared_dir(own)

@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from seglattice.llm.token_output import WaveletMatrix, read_tokens, token_output, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -52,7 +54,7 @@ def expected(docs):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_docs": 7, "segment_tokens": 3000}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 5000, "segment_tokens": 3000}])
 def test_documents(spark, options):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = expected([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -64,7 +66,7 @@ def test_files_hold_everything(spark, tmp_path):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["the", "tree", "zq"]) for _ in range(rng.randrange(30)))) for i in range(100)]
     path = f"file://{tmp_path}/tokens"
-    write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, path, shard_docs=20, segment_tokens=100)
+    write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, path, shard_bytes=500, segment_tokens=100)
     library = Tokenizer.from_file(PATH)
     want = [i for _, t in rows for i in [*library.encode(t, add_special_tokens=False).ids, 2]]
     stored = sorted(spark.read.parquet(path).collect(), key=lambda r: (r["shard"], r["segment"]))
@@ -76,6 +78,18 @@ def test_files_hold_everything(spark, tmp_path):
     assert read_tokens(spark, path).count() == 100
 
 
+def test_a_hot_id_is_spread_over_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("seglattice.llm.token_output.GROUP", 3)
+    rows = [(None if i % 2 else 7, "the tree" if i % 4 else f"the tree {i}") for i in range(400)] + [(i, "the") for i in range(20)]
+    docs, path = spark.createDataFrame(rows, "doc_id bigint, text string"), f"file://{tmp_path}/tokens"
+    write_tokens(docs, PATH, path, shard_bytes=300)
+    shards = spark.read.parquet(path).groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(shards) > 15 and max(r["n"] for r in shards) < 120
+    got = sorted(map(tuple, read_tokens(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False)) and got[0][1] == 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = token_output(odd_docs, PATH).collect()
     want = expected([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
