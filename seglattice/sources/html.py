@@ -1,55 +1,39 @@
-"""Visible text of HTML pages, as lines."""
+"""Visible text of HTML pages, as lines.
+
+A page is reduced by one substitution for each kind of markup: comments and hidden elements go with all they hold (to
+the page's end where they are never closed), tags of blocks become line breaks, all other tags vanish, and character
+references are resolved last, once. Then white space is folded within each line and blank lines are dropped. A tag that
+the page's end cuts off is dropped too.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements without visible text, and elements around which lines break (br before it only).
-HIDDEN = frozenset({"script", "style", "noscript"})
-BLOCKS = frozenset({"p", "div", "br", "li", "h1", "h2", "h3", "tr"})
-
-
-class _Lines(HTMLParser):
-    """Closes a line at every block boundary; hidden elements count how deep they nest."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth, self.open, self.lines = 0, [], []
-
-    def close_line(self) -> None:
-        shown = unescape("".join(self.open))
-        self.lines += [" ".join(words) for part in shown.splitlines() if (words := part.split())]
-        self.open = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.depth += 1
-        elif tag in BLOCKS:
-            self.close_line()
+# Elements without visible text, and elements around which lines break.
+HIDDEN = ("script", "style", "noscript")
+BLOCKS = ("p", "div", "br", "li", "h1", "h2", "h3", "tr")
 
-    def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.depth = max(0, self.depth - 1)
-        elif tag in BLOCKS - {"br"}:
-            self.close_line()
+_REST = r"(?:[\s/][^<>]*)?"
+#: These two are also what the SQL form of page text is made of, so they do without back references.
+UNSEEN = "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{t}{_REST}>.*?(?:</{t}{_REST}>|\z)" for t in HIDDEN)])
+BREAK = rf"(?is)</?(?:{'|'.join(BLOCKS)}){_REST}>"
+TAG = r"(?s)<[a-zA-Z/!?][^<>]*(?:>|\z)"
 
-    def handle_data(self, data):
-        if self.depth == 0:
-            self.open.append(data)
+_UNSEEN, _BREAK, _TAG = (re.compile(p.replace(r"\z", r"\Z")) for p in (UNSEEN, BREAK, TAG))
 
 
 def visible_text(html: str) -> str:
-    """Lines of visible text, white space folded, blank lines dropped."""
-    page = _Lines()
-    page.feed(html)
-    page.close_line()
-    return "\n".join(page.lines)
+    """Lines of visible text."""
+    shown = unescape(_TAG.sub("", _BREAK.sub("\n", _UNSEEN.sub("", html))))
+    folded = (" ".join(line.split()) for line in shown.splitlines())
+    return "\n".join(filter(None, folded))
 
 
 def page_text(html: Column | str) -> Column:
