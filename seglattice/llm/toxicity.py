@@ -3,15 +3,16 @@
 The kernel of two strings sums over their common subsequences of ORDER characters, each weighted by DECAY to the power
 of the room it takes in both; so inserted characters and gaps lower a match but do not break it. Strings are the units
 of a sentence: its words without outer punctuation, runs of single characters ("i d i o t") as one unit, two or three
-neighbouring words joined where they begin and end like an insult ("id iot"), and very long words in overlapping
-pieces. A sentence, and so a document, is as toxic as its most toxic unit, and the more so if others come near it.
+neighbouring words joined where they begin and end like an insult ("id iot") and not both are ordinary words, and very
+long words in overlapping pieces. A sentence, and so a document, is as toxic as its most toxic unit, and the more so if others come near it.
 
 Fitting sees labelled sentences only by the label of their document. Units that toxic documents hold significantly more
 often than clean ones (a likelihood ratio beyond what chance gives among so many units) are positive, and so are their
 disguised forms: one character put in, doubled or left out. A toxic document without such a unit has one witness, its
 most toxic unit, if the machine finds it so. All units of clean documents are negative; those of largest margin enter
 the fit. Landmarks come from pivoted Cholesky steps over positive and negative units. A logistic curve turns the
-largest margins of a document into its score; it is fitted on documents that a machine fitted on the others has scored.
+largest margins of a document into its score; it is fitted on all of them and on those that a machine fitted on the
+others has scored.
 The fit uses at most FIT_DOCS labelled documents of at most FIT_BYTES each; scoring takes whole texts.
 
 Defined results: null, empty and unit-less texts score as the margin of an empty string; without labelled rows of both
@@ -26,7 +27,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from heapq import nlargest
@@ -48,6 +49,8 @@ LANDMARKS = 512
 CLEAN_START, CLEAN_STEP = 3000, 1500
 #: Positive units whose disguised forms are in the fit, and whose parts are looked for; the most frequent.
 COMMON = 100
+#: Share of the clean documents that have an ordinary word.
+ORDINARY = 0.01
 #: Letters that disguised forms have in each place, besides one.
 PUT = 5
 ROUNDS, RIDGE = 3, 1e-2
@@ -94,19 +97,19 @@ def _pieces(token: str) -> list[str]:
 
 #: Three or more single letters or digits between spaces, single marks among them passed over.
 _SPACED = re.compile(r"(?<= )(?:[^\W_] (?:[\W_] )*){3,}")
-#: Beginnings and ends of insults.
-Parts = tuple[frozenset[str], frozenset[str]]
-NO_PARTS: Parts = (frozenset(), frozenset())
+#: Beginnings and ends of insults, and which of them are ordinary words.
+Parts = tuple[frozenset[str], frozenset[str], frozenset[str]]
+NO_PARTS: Parts = (frozenset(), frozenset(), frozenset())
 
 
 def joined(words: list[str], parts: Parts) -> set[str]:
-    """Two or three neighbours in one, where the first begins and the last ends an insult."""
-    begin, end = parts
+    """Two or three neighbours in one, where the first begins and the last ends an insult, and one of them is no ordinary word."""
+    begin, end, plain = parts
     out = set()
     for i, w in enumerate(words):
         if w in begin:
             for k in (i + 1, i + 2):
-                if k < len(words) and words[k].strip(_MARKS) in end:
+                if k < len(words) and (last := words[k].strip(_MARKS)) in end and not (w in plain and last in plain):
                     out.add("".join(words[i : k + 1]))
     return out
 
@@ -125,10 +128,11 @@ def units(text: str | None, parts: Parts = NO_PARTS) -> set[str]:
     return {p for t in tokens(text or "", parts) for p in unit_pieces(t)}
 
 
-def parts_of(words: Iterable[str]) -> Parts:
+def parts_of(words: Iterable[str], ordinary: Callable[[str], bool] = lambda w: False) -> Parts:
     """Where a word that is split in two begins and ends."""
     cuts = [(w[:i], w[i:]) for w in words if len(w) > ORDER for i in range(1, len(w))]
-    return frozenset(a for a, _ in cuts), frozenset(b for _, b in cuts)
+    begin, end = frozenset(a for a, _ in cuts), frozenset(b for _, b in cuts)
+    return begin, end, frozenset(filter(ordinary, begin | end))
 
 
 def matrix(strings: list[str], pad: int) -> np.ndarray:
@@ -403,11 +407,14 @@ def machine(texts: list[tuple[str, int]], prior: float) -> Model:
     witness = Counter(u for own in open_ for u in nlargest(2, (u for u in own if len(u) >= ORDER), key=lambda u: (known.odds(u), u)))
     clean = {u for u in seen[0] if known.toxic_share(u) < 0.5}
     ranked = sorted(strong or witness, key=lambda u: (-seen[1][u], u))[:COMMON]
-    parts = parts_of(ranked)
-    clean.update(p for t, y in texts if not y for j in joined(t.lower().split(), parts) for p in unit_pieces(j) if not seen[1][p])
+    parts = parts_of(ranked, lambda w: seen[0][w] >= ORDINARY * known.n[0])
+    held = Counter({u: seen[0][u] for u in clean})  # clean documents with each clean unit, joined neighbours too
+    held.update(p for t, y in texts if not y for j in joined(t.lower().split(), parts) for p in unit_pieces(j) if not seen[1][p])
+    clean = set(held)
     every = sorted(clean)
-    hard = set(sorted(clean, key=lambda u: (-seen[0][u], u))[:CLEAN_START])
-    worst = sorted(hard)
+    often = np.sqrt([held[u] + 1.0 for u in every])
+    worst = sorted(clean, key=lambda u: (-held[u], u))[:CLEAN_START]
+    hard = set(worst)
     family: set[str] = set()
     model, chosen, gram = Model(), [], {}
     for turn in range(ROUNDS):
@@ -422,7 +429,10 @@ def machine(texts: list[tuple[str, int]], prior: float) -> Model:
         if turn < ROUNDS - 1:  # fixed for the last round
             some = sorted(forms, key=lambda v: zlib.crc32(v.encode("utf-8", "surrogatepass")))[: 2 * LANDMARKS]
             chosen = pivots(positive[: 2 * LANDMARKS] + some, LANDMARKS // 2)
-            chosen += [u for u in pivots(worst[: 3 * LANDMARKS], LANDMARKS // 2) if u not in set(chosen)]
+            sharp = [u for u in worst if len(u) >= ORDER]  # the clean units that weigh most are landmarks themselves
+            for u in (*sharp[: LANDMARKS // 4], *pivots(sharp[: 3 * LANDMARKS], LANDMARKS // 4)):
+                if u not in chosen:
+                    chosen.append(u)
             space, gram = Space(chosen), {}
             weights = space.weights(chosen)
             own = space.sums(chosen, weights)
@@ -435,13 +445,14 @@ def machine(texts: list[tuple[str, int]], prior: float) -> Model:
         x = np.array([gram[u] for u in (*positive, *forms, *negative, *doubtful)])
         y = np.array([1.0] * (len(positive) + len(forms)) + [-1.0] * (len(negative) + len(doubtful)))
         cost = np.array(
-            [math.sqrt(counts[u]) for u in positive] + [variants[v][1] for v in forms] + [CLEAN_COST * math.sqrt(seen[0][u] + 1) for u in negative] + [CLEAN_COST * math.sqrt(seen[0][u] + 1) for u in doubtful]
+            [math.sqrt(counts[u]) for u in positive] + [variants[v][1] for v in forms] + [CLEAN_COST * math.sqrt(held[u] + 1) for u in negative] + [CLEAN_COST * math.sqrt(seen[0][u] + 1) for u in doubtful]
         )
         target = np.array([max(wanted(u), 0.5) for u in positive] + [variants[v][0] for v in forms] + [-wanted(u) for u in negative] + [-max(wanted(u), 0.5) - 0.3 for u in doubtful])
         w = fit_svm(x, y, cost, target)
         model = Model(chosen, root @ w[:-1], float(w[-1]), parts=parts)
         margin = model.margins(every)
-        worst = [every[i] for i in np.argsort(-margin)[:CLEAN_STEP]]
+        worst = [every[i] for i in np.argsort(-(margin + 1) * often)[:CLEAN_STEP]]
+        worst += [every[i] for i in np.argsort(-margin)[:CLEAN_STEP]]
         hard.update(worst)
         mine = sorted({u for own in toxic for u in own if len(u) >= ORDER} - clean)
         of = dict(zip(mine, model.margins(mine).tolist(), strict=True))
@@ -459,23 +470,28 @@ def fit(labelled: Iterable[tuple[str | None, int]], prior: float | None = None)
     if not (n[0] and n[1]):
         return Model(shift=50.0 if prior >= 1 else math.log(prior / (1 - prior)) if prior > 0 else -50.0)
     model = machine(rows, prior)
-    # the curve: on documents that another machine, fitted on the others, has scored; on all rows where they are few
+    # the curve: on all rows, and on documents that another machine, fitted on the others, has scored, where there are enough
     fold = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 == 0 for t, _ in rows]
     apart, others = ([r for r, f in zip(rows, fold, strict=True) if f == side] for side in (True, False))
     enough = min(Counter(y for _, y in apart)[1], Counter(y for _, y in others)[1], Counter(y for _, y in apart)[0]) >= 20
-    judge, judged = (machine(others, prior), apart) if enough else (model, rows)
-    top = summary(Scorer(judge).margins([t for t, _ in judged]))
-    y = np.array([label for _, label in judged], float)
+    x, y, cost = _curve_rows(model, rows, prior)
+    if enough:
+        x, y, cost = (np.concatenate(c) for c in zip((x, y, cost), _curve_rows(machine(others, prior), apart, prior), strict=True))
+    model.slope, model.shift = fit_logistic(x, y, cost)
+    return model
+
+
+def _curve_rows(model: Model, rows: list[tuple[str, int]], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and costs of the curve; the costs add up to 1000."""
+    top, y = summary(Scorer(model).margins([t for t, _ in rows])), np.array([label for _, label in rows], float)
     seen = (y == 0) | (top[:, 0] > 0)  # no curve explains toxic labels without any toxic unit
-    seen = seen if y[seen].any() else y >= 0
-    top, y = top[seen], y[seen]
-    cost = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum())) * len(y)
+    if y[seen].any():
+        top, y = top[seen], y[seen]
+    toxic = y == 1
     # a toxic document counts in part as the sentence of its most toxic unit alone
-    alone = np.column_stack([top[y == 1][:, 0], np.full(int(y.sum()), HELD[0])])
-    rows_, labels_ = np.vstack([top, alone]), np.append(y, np.ones(len(alone)))
-    costs = np.append(np.where(y == 1, (1 - SENTENCE) * cost, cost), SENTENCE * cost[y == 1])
-    model.slope, model.shift = fit_logistic(rows_, labels_, costs)
-    return model
+    alone = np.column_stack([top[toxic][:, 0], np.full(int(toxic.sum()), HELD[0])])
+    cost = np.where(toxic, (1 - SENTENCE) * prior / toxic.sum(), (1 - prior) / (~toxic).sum())
+    return np.vstack([top, alone]), np.append(y, np.ones(len(alone))), np.append(cost, np.full(len(alone), SENTENCE * prior / toxic.sum())) * 1000
 
 
 class Scorer:
