@@ -8,6 +8,7 @@ a compiled dictionary without features.
 from __future__ import annotations
 
 import gc
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,7 @@ from ..schema import SPANS, TOKENS, UNKNOWN_BASE
 from ..sources.dictionary import Dictionary
 from .kernel import Kernel, compile_dictionary
 
+_NEWLINE = re.compile("\r?\n")
 #: Kernels of this Python worker, by broadcast; the last few only.
 _KERNELS: dict[int, Kernel] = {}
 
@@ -91,6 +93,17 @@ def counts(texts: list[str | None], kernel: Kernel) -> pa.Array:
     return pa.array([None if t is None else kernel.count(t) for t in texts], pa.int32())
 
 
+def line_counts(texts: list[str | None], kernel: Kernel) -> pa.Array:
+    """Lines, without an empty one at the end, and the words of all of them."""
+    out = []
+    for t in texts:
+        own = [] if t is None else _NEWLINE.split(t)
+        if own and not own[-1]:
+            own.pop()
+        out.append(None if t is None else {"lines": len(own), "words": sum(map(kernel.count, own))})
+    return pa.array(out, pa.struct([("lines", pa.int32()), ("words", pa.int64())]))
+
+
 def costs(texts: list[str | None], kernel: Kernel) -> pa.Array:
     """The total cost of each text's path, 0 without words."""
     return pa.array([None if t is None else (found[-1][3] if (found := kernel.tokenize(t)) else 0) for t in texts], pa.int64())
@@ -155,6 +168,10 @@ class Tokenizer:
     def tokenize_count(self, text: Column | str) -> Column:
         return self.count_udf()(text)
 
+    def line_counts(self, text: Column | str) -> Column:
+        """struct<lines, words>: each line is a text of its own."""
+        return kernel_udf(self.bare, line_counts, "struct<lines:int,words:bigint>")(text)
+
     def path_cost(self, text: Column | str) -> Column:
         return self.cost_udf()(text)
 

@@ -1,8 +1,9 @@
 """The named queries of the engine and, where DuckDB can run it on whole tables, the SQL of the same rows.
 
-Best paths in SQL take one recursion step for each character, so they are held against SQL on the tables of short
-texts (part names, benchmark items); on documents the same columns run whole, and tests hold them against a plain
-implementation.
+Best paths in SQL take one recursion step for each character, so token rows and output formats are held against SQL on
+the tables of short texts (part names, benchmark items); counts and frequencies of documents, lines and pages recurse
+once over each distinct segment between spaces. The q_document_* queries give token rows, spans, costs and all output
+formats of whole documents without SQL; tests hold them against a plain implementation.
 """
 
 from __future__ import annotations
@@ -17,18 +18,17 @@ from ..functions.sql import register
 from ..operators import lattice
 from ..operators.tokenizer import Tokenizer, explode_tokens, json_text, mecab_text, part_of_speech, reading, spread, wakati_text, word_frequencies
 from ..schema import OUTSIDE_COST, UNKNOWN_BASE
+from ..sources import html
 from ..sources.dictionary import Dictionary, invalid_ids
-from ..sources.html import page_text
-from ..sources.text import split_lines
 from ..streaming.jobs import windowed_counts
 from . import oracle
 from .latin import latin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ITEMS = "SELECT item_id AS id, text AS t FROM benchmark WHERE text IS NOT NULL"
-PARTS = "SELECT p_partkey AS id, p_name AS t FROM part WHERE p_name IS NOT NULL"
-DOCUMENTS = "SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL"
+ITEMS = "SELECT item_id AS id, text AS t FROM benchmark"
+PARTS = "SELECT p_partkey AS id, p_name AS t FROM part"
+DOCUMENTS = "SELECT doc_id AS id, text AS t FROM documents"
 
 latin = cache(latin)
 QUERIES: dict[str, Query] = {}
@@ -48,19 +48,19 @@ def query(sql: str | None = None):
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("t")).where("t IS NOT NULL")
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("t"))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t")).where("t IS NOT NULL")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("t")).where("t IS NOT NULL"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("t")))
 
 
 def run_rows(df: DataFrame, d: Dictionary) -> DataFrame:
-    return lattice.with_runs(lattice.with_categories(lattice.characters(df, "id", "t"), d), d, "id")
+    return lattice.with_runs(df, "id", "t", d)
 
 
 # -- characters
@@ -74,9 +74,8 @@ def q_char_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, length(t)::INTEGER AS chars, strlen(t)::INTEGER AS bytes FROM ({DOCUMENTS})")
 def q_byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the last character of each document ends, in characters and bytes."""
-    chars = lattice.characters(documents(spark, sf_dir), "id", "t")
-    return chars.groupBy("id").agg((F.max("pos") + 1).alias("chars"), F.max("byte_end").alias("bytes"))
+    """The characters and bytes of each document."""
+    return lattice.text_sizes(documents(spark, sf_dir), "id", "t")
 
 
 @query(f"WITH {oracle.chars(ITEMS, latin())} SELECT id, pos, base, array_to_string(category_ids, ',') AS category_ids FROM ch")
@@ -108,11 +107,14 @@ def q_char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_rows(items(spark, sf_dir), latin()).select("id", "pos", "run_end")
 
 
-@query(f"WITH {oracle.chars(DOCUMENTS, latin())}, {oracle.runs(latin())} SELECT id, count(*) AS chars, sum(run_end - pos)::BIGINT AS total, max(run_end - pos)::INTEGER AS longest FROM run GROUP BY id")
+@query(
+    f"WITH {oracle.chars(DOCUMENTS, latin())}, {oracle.runs(latin())} SELECT s.id, CASE WHEN s.t IS NOT NULL THEN count(pos) END AS chars, "
+    "CASE WHEN s.t IS NOT NULL THEN coalesce(sum(run_end - pos), 0) END::BIGINT AS total, CASE WHEN s.t IS NOT NULL THEN coalesce(max(run_end - pos), 0) END::INTEGER AS longest "
+    "FROM src s LEFT JOIN run ON run.id = s.id GROUP BY s.id, s.t"
+)
 def q_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run lengths of every document, summed and at most."""
-    size = F.col("run_end") - F.col("pos")
-    return run_rows(documents(spark, sf_dir), latin()).groupBy("id").agg(F.count("*").alias("chars"), F.sum(size).alias("total"), F.max(size).alias("longest"))
+    return lattice.run_lengths(documents(spark, sf_dir), "id", "t", latin())
 
 
 # -- edges
@@ -121,8 +123,7 @@ def q_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {oracle.chars(ITEMS, latin())}, {oracle.known(latin())} SELECT id, s, e, wid, surface FROM known")
 def q_prefix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lexicon word at every place."""
-    d = latin()
-    found = lattice.known_edges(lattice.characters(items(spark, sf_dir), "id", "t"), d.tables(spark)["lexicon"], lattice.surface_lengths(d), "id")
+    found = lattice.known_edges(items(spark, sf_dir), "id", "t", latin())
     return found.select("id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("word_id").alias("wid"), "surface")
 
 
@@ -130,8 +131,9 @@ def q_prefix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of every lexicon word in all documents."""
     d = latin()
-    found = lattice.known_edges(lattice.characters(documents(spark, sf_dir), "id", "t"), d.tables(spark)["lexicon"], lattice.surface_lengths(d), "id")
-    return found.groupBy("surface").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+    words = d.tables(spark)["lexicon"].groupBy("surface").agg(F.count("*").alias("words"))
+    counts = lattice.surface_counts(documents(spark, sf_dir), "id", "t", lattice.surfaces_of(d.entries))
+    return counts.join(words, "surface").select("surface", (F.col("n") * F.col("words")).alias("n"), F.col("keys").alias("docs"))
 
 
 @query(f"SELECT surface, count(*) AS n, min(word_id) AS first_id FROM {oracle.lexicon_sql(latin())} GROUP BY surface HAVING count(*) > 1")
@@ -146,16 +148,12 @@ _USER_ONLY = oracle.known(latin(user=True)).replace("known AS (", "known AS (SEL
 @query(f"WITH {oracle.chars(ITEMS, latin())}, {_USER_ONLY} SELECT id, s, e, wid, surface FROM known")
 def q_user_prefix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user word at every place."""
-    d = latin(user=True)
-    found = lattice.known_edges(lattice.characters(items(spark, sf_dir), "id", "t"), d.tables(spark)["user"], lattice.surface_lengths(d, user=True), "id")
+    found = lattice.known_edges(items(spark, sf_dir), "id", "t", latin(user=True), user=True)
     return found.select("id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("word_id").alias("wid"), "surface")
 
 
 def made_edges(spark: SparkSession, sf_dir: str, d: Dictionary, max_grouping: int = 0) -> DataFrame:
-    runs = run_rows(items(spark, sf_dir), d)
-    tables = d.tables(spark)
-    known = lattice.known_edges(runs, tables["lexicon"], lattice.surface_lengths(d), "id")
-    made = lattice.unknown_edges(runs, known, d, tables, "id", max_grouping)
+    made = lattice.unknown_edges(run_rows(items(spark, sf_dir), d), d.tables(spark), "id", max_grouping)
     return made.select("id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("word_id").alias("wid"), F.col("left_id").alias("lid"), F.col("right_id").alias("rid"), F.col("word_cost").alias("cost"))
 
 
@@ -220,9 +218,9 @@ def token_rows(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return rows.select("id", "position", "surface", F.col("start_char").alias("s"), F.col("end_char").alias("e"), F.col("word_id").alias("wid"), "feature", F.col("total_cost").alias("total"), "is_unknown")
 
 
-def _tokens_sql(source: str, d: Dictionary, max_grouping: int = 0) -> str:
+def _tokens_sql(source: str, d: Dictionary, max_grouping: int = 0, ignore_space: bool = False) -> str:
     return (
-        f"{oracle.paths(source, d, max_grouping)} SELECT tok.id, position, substr(t, s + 1, e - s) AS surface, s, e, wid, feature, total, wid >= {UNKNOWN_BASE} AS is_unknown "
+        f"{oracle.paths(source, d, max_grouping, ignore_space=ignore_space)} SELECT tok.id, position, substr(t, s + 1, e - s) AS surface, s, e, wid, feature, total, wid >= {UNKNOWN_BASE} AS is_unknown "
         f"FROM tok JOIN src ON src.id = tok.id JOIN {oracle.features(d)} AS feat USING (wid)"
     )
 
@@ -257,7 +255,7 @@ def q_tokens_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(items(spark, sf_dir), Tokenizer(spark, latin(SPARSE)))
 
 
-@query()
+@query(_tokens_sql(ITEMS, latin(), ignore_space=True))
 def q_tokens_ignore_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every benchmark item, spaces passed over."""
     return token_rows(items(spark, sf_dir), Tokenizer(spark, latin(), ignore_space=True))
@@ -288,13 +286,23 @@ def q_batch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select(Tokenizer(spark, latin()).tokenize_count("t").alias("n")).agg(F.sum("n").alias("words"))
 
 
-@query()
+_COUNTED = "counted AS (SELECT src.id AS seg, count(tok.id) AS n FROM src LEFT JOIN tok USING (id) GROUP BY src.id)"
+
+
+@query(
+    f"{oracle.segmented(DOCUMENTS, latin())}, {_COUNTED}, summed AS (SELECT id, sum(n) AS n FROM part JOIN counted USING (seg) GROUP BY id) "
+    f"SELECT d.id, CASE WHEN d.t IS NOT NULL THEN coalesce(n, 0) END::INTEGER AS n FROM ({DOCUMENTS}) d LEFT JOIN summed ON summed.id = d.id"
+)
 def q_count_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of words of every document."""
     return documents(spark, sf_dir).select("id", Tokenizer(spark, latin()).tokenize_count("t").alias("n"))
 
 
-@query()
+@query(
+    f"{oracle.segmented(DOCUMENTS, latin())}, often AS (SELECT id AS doc, seg, count(*) AS k FROM part GROUP BY ALL), "
+    f"found AS (SELECT tok.id AS seg, substr(t, s + 1, e - s) AS surface, wid >= {UNKNOWN_BASE} AS is_unknown, count(*) AS n FROM tok JOIN src USING (id) GROUP BY ALL) "
+    "SELECT surface, is_unknown, sum(n * k)::BIGINT AS n, count(DISTINCT doc) AS docs FROM found JOIN often USING (seg) GROUP BY ALL"
+)
 def q_token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents by surface and kind, with the number of documents."""
     return word_frequencies(documents(spark, sf_dir), "t", Tokenizer(spark, latin())).withColumnRenamed("rows", "docs")
@@ -307,12 +315,17 @@ def q_unknown_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(F.col("is_unknown").cast("int")).alias("unknown"), F.count("*").alias("words"))
 
 
-@query()
+_LINES = f"SELECT row_number() OVER () AS id, doc, t FROM (SELECT d.id AS doc, unnest(string_split(regexp_replace(d.t, '\\r?\\n', chr(10), 'g'), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(d.t, '\\r?\\n', chr(10), 'g'), chr(10)), 1) AS line, len(string_split(regexp_replace(d.t, '\\r?\\n', chr(10), 'g'), chr(10))) AS lines FROM ({DOCUMENTS}) d) WHERE line < lines OR t <> ''"
+
+
+@query(
+    f"{oracle.segmented('SELECT id, t FROM line', latin()).replace('WITH RECURSIVE', f'WITH RECURSIVE line AS MATERIALIZED ({_LINES}),', 1)}, {_COUNTED}, "
+    "summed AS (SELECT doc, count(DISTINCT line.id) AS lines, sum(n) AS words FROM line LEFT JOIN part ON part.id = line.id LEFT JOIN counted USING (seg) GROUP BY doc) "
+    f"SELECT d.id, CASE WHEN d.t IS NOT NULL THEN coalesce(lines, 0) END::INTEGER AS lines, CASE WHEN d.t IS NOT NULL THEN coalesce(words, 0) END::BIGINT AS words FROM ({DOCUMENTS}) d LEFT JOIN summed ON doc = d.id"
+)
 def q_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every line of every document, lines taken one by one; repeated lines are counted once and joined back."""
-    lines = documents(spark, sf_dir).select("id", F.posexplode(split_lines("t")).alias("line", "text"))
-    known = lines.select("text").distinct().withColumn("words", Tokenizer(spark, latin()).tokenize_count("text"))
-    return lines.join(known, "text").groupBy("id").agg(F.count("*").alias("lines"), F.sum("words").alias("words"))
+    """Lines and words of every document, lines taken one by one."""
+    return documents(spark, sf_dir).select("id", Tokenizer(spark, latin()).line_counts("t").alias("c")).select("id", "c.lines", "c.words")
 
 
 # -- output formats
@@ -432,11 +445,36 @@ def q_dominated_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- pages and streams
 
 
-@query()
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+
+
+#: Character references of the tables' pages; the last one resolves what the others leave.
+_REFERENCES = (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&"))
+
+
+def _page_sql() -> str:
+    shown = "html"
+    for pattern, put in ((html.UNSEEN, ""), (html.BREAK, "\n"), (html.TAG, ""), *_REFERENCES):
+        shown = f"regexp_replace({shown}, {oracle.text(pattern)}, {oracle.text(put)}, 'g')"
+    folded = f"list_transform(string_split({shown}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
+    return f"SELECT page_id, array_to_string(list_filter({folded}, lambda x: x <> ''), chr(10)) AS text FROM pages"
+
+
+@query(_page_sql())
 def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of every page, with its number of words."""
-    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).select("page_id", page_text("html").alias("text"))
-    return pages.select("page_id", "text", Tokenizer(spark, latin()).tokenize_count("text").alias("words"))
+    """Visible text of every page."""
+    return pages(spark, sf_dir).select("page_id", html.page_text("html").alias("text"))
+
+
+@query(
+    f"{oracle.segmented('SELECT page_id AS id, text AS t FROM page', latin()).replace('WITH RECURSIVE', f'WITH RECURSIVE page AS MATERIALIZED ({_page_sql()}),', 1)}, {_COUNTED}, "
+    "summed AS (SELECT id, sum(n) AS n FROM part JOIN counted USING (seg) GROUP BY id) "
+    "SELECT page_id, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END::INTEGER AS words FROM page LEFT JOIN summed ON id = page_id"
+)
+def q_page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the visible text of every page."""
+    return pages(spark, sf_dir).select("page_id", Tokenizer(spark, latin()).tokenize_count(html.page_text("html")).alias("words"))
 
 
 PROPS = "SELECT row_number() OVER () AS id, props AS t FROM (SELECT DISTINCT props FROM events WHERE props IS NOT NULL)"

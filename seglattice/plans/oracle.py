@@ -88,33 +88,57 @@ def edges(source: str, d: Dictionary, max_grouping: int = 0) -> str:
 edge AS MATERIALIZED (SELECT id, s, e, wid, lid, rid, cost FROM known UNION ALL FROM made UNION ALL FROM fallback)"""
 
 
-def paths(source: str, d: Dictionary, max_grouping: int = 0) -> str:
+def paths(source: str, d: Dictionary, max_grouping: int = 0, *, ignore_space: bool = False, right: str = "0") -> str:
     """WITH ... up to tok(id, position, s, e, wid, total): the best path of every text that is not empty.
 
     One recursion step for each position: edges that start there take their best node before, longer nodes wait.
+    ignore_space: no edge starts at a space, and nodes that end there end after its run too. right: the right id before
+    the text, an expression of the source's columns.
     """
     kind = f"CASE WHEN c.wid < {USER_BASE} THEN 1 WHEN c.wid < {UNKNOWN_BASE} THEN 0 ELSE 2 END"
+    space = d.category_id("SPACE") if ignore_space else -1
     return f"""WITH RECURSIVE {edges(source, d, max_grouping)},
 mat AS (SELECT * FROM {matrix_sql(d)}),
+gap AS MATERIALIZED (SELECT id, pos, run_end FROM run WHERE list_contains(category_ids, {space})),
+way AS MATERIALIZED (SELECT * FROM edge g WHERE NOT EXISTS (SELECT 1 FROM gap WHERE gap.id = g.id AND gap.pos = g.s)),
 v AS (
-  SELECT 0 AS p, id, -1 AS s, 0 AS e, {BEGIN_ID}::BIGINT AS wid, 0 AS rid, 0::BIGINT AS total, NULL::INTEGER AS ps, NULL::BIGINT AS pw FROM src WHERE length(t) > 0
+  SELECT 0 AS p, id, -1 AS s, 0 AS e, 0 AS own_e, {BEGIN_ID}::BIGINT AS wid, ({right})::INTEGER AS rid, 0::BIGINT AS total, NULL::INTEGER AS ps, NULL::BIGINT AS pw
+  FROM src WHERE length(t) > 0
   UNION ALL
   SELECT * FROM (
     WITH c AS (SELECT * FROM v),
-    step AS (SELECT c.p + 1 AS p, g.id, g.s, g.e, g.wid, g.rid, c.total + coalesce(mat.cost, {OUTSIDE_COST}) + g.cost AS total, c.s AS ps, c.wid AS pw,
+    step AS (SELECT c.p + 1 AS p, g.id, g.s, g.e, g.e AS own_e, g.wid, g.rid, c.total + coalesce(mat.cost, {OUTSIDE_COST}) + g.cost AS total, c.s AS ps, c.wid AS pw,
         row_number() OVER (PARTITION BY g.id, g.s, g.e, g.wid ORDER BY c.total + coalesce(mat.cost, {OUTSIDE_COST}), c.s DESC, {kind} DESC, c.wid DESC) AS rn
-      FROM c JOIN edge g ON g.id = c.id AND g.s = c.e AND c.e = c.p LEFT JOIN mat ON mat.right_id = c.rid AND mat.left_id = g.lid)
-    SELECT p, id, s, e, wid, rid, total, ps, pw FROM step WHERE rn = 1
-    UNION ALL SELECT p + 1, id, s, e, wid, rid, total, ps, pw FROM c WHERE e > p)
+      FROM c JOIN way g ON g.id = c.id AND g.s = c.e AND c.e = c.p LEFT JOIN mat ON mat.right_id = c.rid AND mat.left_id = g.lid)
+    SELECT p, id, s, e, own_e, wid, rid, total, ps, pw FROM step WHERE rn = 1
+    UNION ALL SELECT c.p + 1, c.id, s, gap.run_end, own_e, wid, rid, total, ps, pw FROM c JOIN gap ON gap.id = c.id AND gap.pos = c.e AND c.e = c.p
+    UNION ALL SELECT p + 1, id, s, e, own_e, wid, rid, total, ps, pw FROM c WHERE e > p)
 ),
-node AS (SELECT DISTINCT id, s, e, wid, total, ps, pw FROM v),
-last AS (SELECT n.*, row_number() OVER (PARTITION BY n.id ORDER BY total, wid, s DESC) AS rn FROM node n JOIN src ON src.id = n.id AND n.e = length(t) WHERE n.s >= 0),
+node AS (SELECT DISTINCT id, s, e, own_e, wid, total, ps, pw FROM v),
+last AS (
+  SELECT n.*, row_number() OVER (PARTITION BY n.id ORDER BY total, wid, CASE WHEN own_e < e THEN s ELSE -s END) AS rn
+  FROM node n JOIN src ON src.id = n.id AND n.e = length(t) WHERE n.s >= 0),
 back AS (
-  SELECT id, s, e, wid, total, ps, pw FROM last WHERE rn = 1
+  SELECT id, s, own_e, wid, total, ps, pw FROM last WHERE rn = 1
   UNION ALL
-  SELECT n.id, n.s, n.e, n.wid, n.total, n.ps, n.pw FROM back b JOIN node n ON n.id = b.id AND n.e = b.s AND n.s = b.ps AND n.wid = b.pw WHERE n.s >= 0
+  SELECT n.id, n.s, n.own_e, n.wid, n.total, n.ps, n.pw FROM back b JOIN node n ON n.id = b.id AND n.e = b.s AND n.s = b.ps AND n.wid = b.pw WHERE n.s >= 0
 ),
-tok AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY s) - 1)::INTEGER AS position, s, e, wid, total FROM back)"""
+tok AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY s) - 1)::INTEGER AS position, s, own_e AS e, wid, total FROM back)"""
+
+
+def segmented(texts: str, d: Dictionary) -> str:
+    """WITH ... up to part(id, seg) and tok over distinct segments; texts selects id and t.
+
+    For dictionaries in which a space starts no word but the grouped unknown one and no word goes over a space: after a
+    run of spaces there is one node only, so what follows depends on that node's right id alone, and a text falls into
+    segments that each end with a run of spaces. Segments repeat, and each is recursed over once.
+    """
+    (_, after), = ((u.left_id, u.right_id) for u in d.unknown if u.category_id == d.category_id("SPACE"))
+    cut = "regexp_extract_all(t, '(?s)[^ ]* +|[^ ]+')"
+    part = f"(SELECT id, unnest({cut}) AS t, generate_subscripts({cut}, 1) = 1 AS opening FROM ({texts}))"
+    source = f"SELECT row_number() OVER (ORDER BY t, opening) AS id, t, opening FROM (SELECT DISTINCT t, opening FROM {part})"
+    return f"""{paths(source, d, right=f"CASE WHEN opening THEN 0 ELSE {after} END")},
+part AS (SELECT p.id, src.id AS seg FROM {part} p JOIN src ON src.t = p.t AND src.opening = p.opening)"""
 
 
 def features(d: Dictionary) -> str:

@@ -50,5 +50,5 @@ def test_registry(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and set(catalogue.QUERIES) <= set(queries)
     assert __spark_entry__.entry(spark).count() > 0
-    assert catalogue.q_page_text(spark, SF).where("words > 0").count() > 0
+    assert catalogue.q_page_words(spark, SF).where("words > 0").count() > 0
     assert catalogue.q_windowed_counts(spark, SF).count() > 0
