@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.kernel import Kernel
 from ..operators.tokenizer import Tokenizer, byte_offsets, kernel_of, kernel_udf
 from ..schema import UNKNOWN_BASE
+from ..sources.dictionary import Dictionary
 
 ROWS = "position int, surface string, start int, end int, start_char int, end_char int, word_id bigint, feature string, total_cost bigint, is_unknown boolean"
 
@@ -45,7 +46,13 @@ def json_of(texts: list[str | None], kernel: Kernel) -> pa.Array:
     return pa.array([None if t is None else one(t) for t in texts], pa.string())
 
 
-def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok_") -> None:
+#: Grouped unknown words of the functions' own tokenizer are at most one character longer than this.
+DEFAULT_GROUPING = 24
+
+
+def register(spark: SparkSession, tokenizer: Tokenizer | None = None, prefix: str = "tok_") -> None:
+    """Register all functions; without a tokenizer, for the built-in dictionary and grouping up to DEFAULT_GROUPING."""
+    tokenizer = Tokenizer(spark, Dictionary.builtin(), max_grouping=DEFAULT_GROUPING) if tokenizer is None else tokenizer
     named = {
         "tokens": tokenizer.tokenize_udf(), "spans": tokenizer.spans_udf(), "count": tokenizer.count_udf(), "cost": tokenizer.cost_udf(), "wakati": tokenizer.wakati_udf(),
         "mecab": kernel_udf(tokenizer.full, mecab_of, "string"), "json": kernel_udf(tokenizer.full, json_of, "string"),

@@ -34,7 +34,7 @@ class Compiled:
     words: dict[str, tuple[tuple[int, int, int, int], ...]]  # surface to (word id, left id, right id, cost), user words first
     lengths: tuple[int, ...]
     heads: frozenset[str]  # beginnings of words of more than one character, and the words
-    columns: tuple[tuple[int, ...], ...]  # costs by left id, then right id
+    columns: np.ndarray  # costs by left id, then right id, 16 bits each
     right_size: int
     sets: tuple[tuple[int, ...], ...]  # distinct category lists; 0 is that of code points without a range
     overlap: tuple[tuple[bool, ...], ...]
@@ -76,7 +76,7 @@ def compile_dictionary(d: Dictionary, ignore_space: bool = False, max_grouping:
         unknown[u.category_id].append((UNKNOWN_BASE + i, u.left_id, u.right_id, u.word_cost))
     return Compiled(
         {w: tuple(v) for w, v in words.items()}, tuple(sorted({len(w) for w in words})), frozenset(w[:i] for w in words for i in range(1, len(w) + 1)),
-        tuple(map(tuple, grid.tolist())), m.right_size, tuple(listed), tuple(map(tuple, overlap)), tuple(map(tuple, joined)),
+        np.ascontiguousarray(grid, np.int16), m.right_size, tuple(listed), tuple(map(tuple, overlap)), tuple(map(tuple, joined)),
         frozenset(w[i : i + 2] for w in words for i in range(len(w) - 1)), np.array(edges, np.int64), np.array(set_of, np.int32),
         tuple((c.invoke, c.group, c.length) for c in d.categories), tuple(map(tuple, unknown)), tuple(u[0] if u else (UNKNOWN_BASE, 0, 0, FALLBACK_COST) for u in unknown),
         tuple(e.feature for e in d.entries) if features else (), tuple(e.feature for e in d.user) if features else (), tuple(u.feature for u in d.unknown) or (FALLBACK_FEATURE,),
@@ -103,6 +103,14 @@ class Kernel:
         self.joined = np.array(compiled.joined, bool)
         self.pairs = np.array(sorted(ord(p[0]) * top + ord(p[1]) for p in compiled.inner), np.int64)
         self.top = top
+        self.columns: dict[int, tuple[int, ...]] = {}
+
+    def column(self, left: int) -> tuple[int, ...]:
+        """Connection costs before a left id, as numbers; only those that texts need are unpacked."""
+        found = self.columns.get(left)
+        if found is None:
+            found = self.columns[left] = tuple(self.d.columns[left].tolist()) if left < len(self.d.columns) else ()
+        return found
 
     def _reset(self) -> None:
         self.memo.clear()
@@ -152,7 +160,7 @@ class Kernel:
             if old is None or e[1] <= old[0]:
                 here[0][e[0]] = (e[1], k)
         run = self._runs(sets)
-        words, heads, columns, right_size, all_links = d.words, d.heads, d.columns, d.right_size, d.ignore_space
+        words, heads, column_of, right_size, all_links = d.words, d.heads, self.column, d.right_size, d.ignore_space
         longest = d.lengths[-1] if d.lengths else 0
         for i in range(n):
             before = here[i]
@@ -188,7 +196,7 @@ class Kernel:
             for size, (w_id, left, w_right, w_cost) in made:
                 chosen = best.get(left)
                 if chosen is None:
-                    column = columns[left] if left < len(columns) else ()
+                    column = column_of(left)
                     least = last = None
                     for r, c, p in ways:
                         c += column[r] if r < right_size and column else OUTSIDE_COST
@@ -248,24 +256,36 @@ class Kernel:
             run[i] = j
         return run
 
-    def _through(self, text: str) -> tuple[list[tuple[int, int, list]], int]:
-        """For each piece its offset, the least cost to it and its paths; and the item of the last front to go back from."""
+    def _make_room(self, front: int) -> int:
+        """Forget pieces and fronts beyond their limits; the number of a front that stays, which may have changed."""
         if len(self.front_list) > MEMO_FRONTS:
+            items = self.front_list[front]
             self._reset()
-        elif len(self.memo) > MEMO_PIECES:
+            return self._front(items)
+        if len(self.memo) > MEMO_PIECES:
             self.older, self.memo = self.memo, {}
-        at, total, front, trail, memo = 0, 0, self.begin, [], self.memo
+        return front
+
+    def _through(self, text: str) -> tuple[list[tuple[int, int, list]], int]:
+        """For each piece its offset, the least cost to it and its paths; and the item of the last front to go back from."""
+        self._make_room(self.begin)
+        at, total, front, trail, memo, older = 0, 0, self.begin, [], self.memo, self.older
         cuts, sets = self.cuts(text)
         for end in cuts:
             piece = text[at:end]
             key = (front, piece)
             found = memo.get(key)
             if found is None:
-                found = self.older.get(key)
+                found = older.get(key)
                 if found is None:
                     found = self.piece(front, piece, sets[at:end].tolist())
                 if end - at <= MEMO_CHARS:
                     memo[key] = found
+                    if len(memo) > MEMO_PIECES or len(self.front_list) > MEMO_FRONTS:  # inside a text too
+                        trail.append((at, total, found[2]))
+                        front, at, total = self._make_room(found[0]), end, total + found[1]
+                        memo, older = self.memo, self.older
+                        continue
             trail.append((at, total, found[2]))
             front, at = found[0], end
             total += found[1]

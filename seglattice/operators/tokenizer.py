@@ -11,13 +11,14 @@ import gc
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import SPANS, TOKENS, UNKNOWN_BASE
+from ..schema import SPANS, TOKENS, UNKNOWN_BASE, DictionaryError
 from ..sources.dictionary import Dictionary
 from .kernel import Kernel, compile_dictionary
 
@@ -137,10 +138,19 @@ class Tokenizer:
     """Columns of words for a dictionary and options. max_grouping 0: no limit on grouped unknown words."""
 
     def __init__(self, spark: SparkSession, dictionary: Dictionary, *, ignore_space: bool = False, max_grouping: int = 0):
-        self.dictionary, self.ignore_space, self.max_grouping = dictionary, ignore_space, max_grouping
-        context = spark.sparkContext
-        self.full = context.broadcast(compile_dictionary(dictionary, ignore_space, max_grouping))
-        self.bare = context.broadcast(compile_dictionary(dictionary, ignore_space, max_grouping, features=False))
+        self.dictionary, self.ignore_space, self.max_grouping, self.context = dictionary, ignore_space, max_grouping, spark.sparkContext
+        if ignore_space and dictionary.category_id("SPACE") is None:
+            raise DictionaryError("ignoring spaces takes a category SPACE")
+
+    @cached_property
+    def full(self):
+        """The compiled dictionary with features, broadcast when a column first needs them."""
+        return self.context.broadcast(compile_dictionary(self.dictionary, self.ignore_space, self.max_grouping))
+
+    @cached_property
+    def bare(self):
+        """The compiled dictionary of columns that only count or locate; a tokenizer that only counts never ships features."""
+        return self.context.broadcast(compile_dictionary(self.dictionary, self.ignore_space, self.max_grouping, features=False))
 
     def tokenize_udf(self):
         return kernel_udf(self.full, token_lists, TOKENS)

@@ -9,7 +9,7 @@ formats of whole documents without SQL; tests hold them against a plain implemen
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from ..operators import lattice
 from ..operators.tokenizer import Tokenizer, explode_tokens, json_text, mecab_text, part_of_speech, reading, spread, wakati_text, word_frequencies
 from ..schema import OUTSIDE_COST, UNKNOWN_BASE
 from ..sources import html
+from ..sources.binary import read_dictionary, write_dictionary
 from ..sources.dictionary import Dictionary, invalid_ids
 from ..streaming.jobs import windowed_counts
 from . import oracle
@@ -328,6 +329,64 @@ def q_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("id", Tokenizer(spark, latin()).line_counts("t").alias("c")).select("id", "c.lines", "c.words")
 
 
+# -- whole documents, a row for each with digests of its words
+
+
+@query(
+    f"{oracle.document_tokens(DOCUMENTS, latin())} SELECT id, count(*) AS words, md5(string_agg(s || '-' || e || '-' || wid || '-' || total, ',' ORDER BY s)) AS digest FROM word_at GROUP BY id"
+)
+def q_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, ids and running costs of all words of every document that has any."""
+    rows = documents(spark, sf_dir).select("id", Tokenizer(spark, latin()).tokenize("t").alias("tokens")).where(F.size("tokens") > 0)
+    each = F.transform("tokens", lambda t: F.concat_ws("-", t["start_char"].cast("string"), t["end_char"].cast("string"), t["word_id"].cast("string"), t["total_cost"].cast("string")))
+    return rows.select("id", F.size("tokens").cast("bigint").alias("words"), F.md5(F.array_join(each, ",").cast("binary")).alias("digest"))
+
+
+@query(
+    f"{oracle.document_tokens(DOCUMENTS, latin())} SELECT id, max_by(total, s)::BIGINT AS best_cost, sum((wid >= {UNKNOWN_BASE})::INTEGER)::BIGINT AS unknown FROM word_at GROUP BY id"
+)
+def q_document_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of the best path and the unknown words of every document that has words."""
+    t = Tokenizer(spark, latin())
+    rows = documents(spark, sf_dir).select("id", t.path_cost("t").alias("best_cost"), t.tokenize_spans("t").alias("spans")).where(F.size("spans") > 0)
+    return rows.select("id", "best_cost", F.size(F.filter("spans", lambda s: s["word_id"] >= F.lit(UNKNOWN_BASE))).cast("bigint").alias("unknown"))
+
+
+@query(
+    f"{oracle.document_tokens(DOCUMENTS, latin())} SELECT id, md5(string_agg(surface, ' ' ORDER BY s)) AS wakati, "
+    f"md5(string_agg(surface || chr(9) || feature || chr(10), '' ORDER BY s) || 'EOS') AS mecab FROM word_at JOIN {oracle.features(latin())} AS feat USING (wid) GROUP BY id"
+)
+def q_document_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the text formats of every document that has words."""
+    rows = documents(spark, sf_dir).select("id", Tokenizer(spark, latin()).tokenize("t").alias("tokens")).where(F.size("tokens") > 0)
+    return rows.select("id", *(F.md5(form(F.col("tokens")).cast("binary")).alias(name) for name, form in (("wakati", wakati_text), ("mecab", mecab_text))))
+
+
+@query()
+def q_document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and digest of the JSON form of every document."""
+    rows = documents(spark, sf_dir).select("id", Tokenizer(spark, latin()).json("t").alias("json"))
+    return rows.select("id", F.octet_length("json").alias("bytes"), F.md5(F.col("json").cast("binary")).alias("digest"))
+
+
+@query()
+def q_document_ignore_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and digest of byte ranges of every document, spaces passed over."""
+    rows = documents(spark, sf_dir).select("id", Tokenizer(spark, latin(), ignore_space=True).tokenize_spans("t").alias("spans"))
+    each = F.transform("spans", lambda t: F.concat_ws("-", t["start"].cast("string"), t["end"].cast("string"), t["word_id"].cast("string")))
+    return rows.select("id", F.size("spans").alias("words"), F.md5(F.array_join(each, ",").cast("binary")).alias("digest"))
+
+
+@query(
+    f"WITH {oracle.edges(DOCUMENTS, latin())} SELECT id, count(*) AS edges, sum((wid >= {UNKNOWN_BASE})::INTEGER)::BIGINT AS unknown, sum(cost)::BIGINT AS cost FROM edge GROUP BY id"
+)
+def q_document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known and unknown edges of every document that has characters."""
+    every = lattice.edges(documents(spark, sf_dir), "id", "t", latin())
+    unknown = F.sum((F.col("word_id") >= F.lit(UNKNOWN_BASE)).cast("int")).cast("bigint")
+    return every.groupBy("id").agg(F.count("*").alias("edges"), unknown.alias("unknown"), F.sum("word_cost").cast("bigint").alias("cost"))
+
+
 # -- output formats
 
 
@@ -371,6 +430,20 @@ def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT id, latin_count(t) AS words, latin_wakati(t) AS wakati FROM latin_parts")
 
 
+@query(
+    f"{oracle.paths(PARTS, latin())} SELECT id, max_by(total, position)::BIGINT AS cost, '[' || string_agg({_OBJECT}, ',' ORDER BY s) || ']' AS json, "
+    f"string_agg({_SURFACE} || chr(9) || feature || chr(10), '' ORDER BY s) || 'EOS' AS mecab, count(*)::INTEGER AS tokens, sum(e - s)::BIGINT AS chars {_FEATURED}"
+)
+def q_sql_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other registered SQL functions on part names."""
+    register(spark, Tokenizer(spark, latin()), "latin_")
+    parts(spark, sf_dir).createOrReplaceTempView("latin_parts")
+    return spark.sql(
+        "SELECT id, latin_cost(t) AS cost, latin_json(t) AS json, latin_mecab(t) AS mecab, size(latin_tokens(t)) AS tokens, "
+        "aggregate(latin_spans(t), 0L, (n, s) -> n + s.end - s.start) AS chars FROM latin_parts"
+    )
+
+
 @query(_tokens_sql(PARTS, latin()).replace("SELECT tok.id", "SELECT tok.id AS id"))
 def q_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table function joined laterally to part names."""
@@ -400,6 +473,22 @@ def q_matrix_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latin().tables(spark)["connection"]
 
 
+MINIMAL = "# two words\nmatrix\t2\t2\n0\t-5\n7\t2\n\nentry\tab\t0\t1\t100\tnoun,x\nentry\tb\t1\t0\t-3\tverb\n"
+
+
+@query(
+    "SELECT * FROM (VALUES ('minimal', 0::BIGINT, 'ab', 0, 1, 100, 'noun,x'), ('minimal', 1, 'b', 1, 0, -3, 'verb')) AS m(source, word_id, surface, left_id, right_id, word_cost, feature) "
+    + "".join(f"UNION ALL SELECT '{name}', * FROM {oracle.lexicon_sql(latin())} " for name in ("binary", "folder"))
+    + "UNION ALL SELECT 'builtin', * FROM (VALUES (0::BIGINT, '本', 0, 0, 10, '名詞-普通名詞-一般,ホン'), (1, 'と', 0, 0, 1, '助詞-格助詞,ト'), (2, 'カレー', 0, 0, 10, '名詞-普通名詞-一般,カレー'))"
+)
+def q_dictionary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicons that the other sources give: the minimal text, a binary file, a saved folder, and the built-in one."""
+    kept = latin()
+    made = {"minimal": Dictionary.from_minimal(MINIMAL), "binary": read_dictionary(write_dictionary(kept)), "folder": Dictionary.from_tables(kept.tables(spark)), "builtin": Dictionary.builtin()}
+    every = [d.tables(spark)["lexicon"].select(F.lit(name).alias("source"), "*") for name, d in made.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
 @query(f"SELECT * FROM {oracle.lexicon_sql(latin())} WHERE left_id > 2 OR right_id > 2")
 def q_invalid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words whose ids a smaller matrix does not have."""

@@ -135,10 +135,22 @@ def segmented(texts: str, d: Dictionary) -> str:
     """
     (_, after), = ((u.left_id, u.right_id) for u in d.unknown if u.category_id == d.category_id("SPACE"))
     cut = "regexp_extract_all(t, '(?s)[^ ]* +|[^ ]+')"
-    part = f"(SELECT id, unnest({cut}) AS t, generate_subscripts({cut}, 1) = 1 AS opening FROM ({texts}))"
+    part = f"(SELECT id, unnest({cut}) AS t, generate_subscripts({cut}, 1) AS place, generate_subscripts({cut}, 1) = 1 AS opening FROM ({texts}))"
     source = f"SELECT row_number() OVER (ORDER BY t, opening) AS id, t, opening FROM (SELECT DISTINCT t, opening FROM {part})"
     return f"""{paths(source, d, right=f"CASE WHEN opening THEN 0 ELSE {after} END")},
-part AS (SELECT p.id, src.id AS seg FROM {part} p JOIN src ON src.t = p.t AND src.opening = p.opening)"""
+part AS (SELECT p.id, p.place, length(p.t) AS chars, src.id AS seg FROM {part} p JOIN src ON src.t = p.t AND src.opening = p.opening)"""
+
+
+def document_tokens(texts: str, d: Dictionary) -> str:
+    """segmented(texts) and word(id, s, e, wid, total, surface): the best path of whole texts, put together again."""
+    return f"""{segmented(texts, d)},
+seg_cost AS (SELECT id AS seg, max_by(total, position) AS cost FROM tok GROUP BY id),
+laid AS (
+  SELECT p.id, p.seg, sum(chars) OVER before - chars AS first_char, sum(cost) OVER before - cost AS paid FROM part p JOIN seg_cost USING (seg)
+  WINDOW before AS (PARTITION BY p.id ORDER BY place)),
+word_at AS (
+  SELECT laid.id, (first_char + s)::INTEGER AS s, (first_char + e)::INTEGER AS e, wid, (paid + total)::BIGINT AS total, substr(src.t, s + 1, e - s) AS surface
+  FROM laid JOIN tok ON tok.id = laid.seg JOIN src ON src.id = laid.seg)"""
 
 
 def features(d: Dictionary) -> str:

@@ -14,10 +14,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CATEGORY, CONNECTION, FALLBACK_COST, FALLBACK_FEATURE, LEXICON, OUTSIDE_COST, RANGE, UNKNOWN, USER_BASE, DictionaryError
+from ..schema import CATEGORY, FALLBACK_COST, FALLBACK_FEATURE, LEXICON, OUTSIDE_COST, RANGE, UNKNOWN, USER_BASE, DictionaryError
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,16 @@ class Dictionary:
         """The four files in a folder of any file system that Spark reads; lex may be a pattern (files in the order of their names) and gzipped."""
         return cls.from_mecab_text(*(read_text(spark, f"{folder}/{name}", encoding) for name in (lex, matrix, char, unk)), **options)
 
+    @classmethod
+    def from_binary(cls, spark: SparkSession, path: str) -> Dictionary:
+        """A binary dictionary file of either version, from any file system that Spark reads."""
+        from .binary import read_dictionary
+
+        found = spark.read.format("binaryFile").load(path).select("content").take(2)
+        if len(found) != 1:
+            raise DictionaryError(f"{path} is not one file")
+        return read_dictionary(bytes(found[0]["content"]))
+
     @classmethod
     def builtin(cls) -> Dictionary:
         """A small dictionary for trying things out."""
@@ -163,11 +174,12 @@ class Dictionary:
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """lexicon, user, connection, category, range and unknown as DataFrames."""
         m = self.matrix
+        left, right = np.divmod(np.arange(len(m.costs), dtype=np.int32), np.int32(m.right_size or 1))
         words = lambda own, base: [(base + i, e.surface, e.left_id, e.right_id, e.word_cost, e.feature) for i, e in enumerate(own)]
         return {
             "lexicon": spark.createDataFrame(words(self.entries, 0), LEXICON),
             "user": spark.createDataFrame(words(self.user, USER_BASE), LEXICON),
-            "connection": spark.createDataFrame([(i % m.right_size, i // m.right_size, c) for i, c in enumerate(m.costs.tolist())], CONNECTION),
+            "connection": spark.createDataFrame(pa.table([pa.array(c) for c in (right, left, m.costs.astype(np.int16))], ["right_id", "left_id", "cost"])),
             "category": spark.createDataFrame([(i, c.name, c.invoke, c.group, c.length) for i, c in enumerate(self.categories)], CATEGORY),
             "range": spark.createDataFrame([(i, r.start, r.end, list(r.category_ids)) for i, r in enumerate(self.ranges)], RANGE),
             "unknown": spark.createDataFrame([(i, u.category_id, u.left_id, u.right_id, u.word_cost, u.feature) for i, u in enumerate(self.unknown)], UNKNOWN),

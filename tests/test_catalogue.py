@@ -1,3 +1,5 @@
+import hashlib
+import json
 from collections import Counter
 
 import pytest
@@ -52,3 +54,24 @@ def test_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert catalogue.q_page_words(spark, SF).where("words > 0").count() > 0
     assert catalogue.q_windowed_counts(spark, SF).count() > 0
+
+
+def test_document_queries_equal_brute_force(spark):
+    texts = {r["id"]: r["t"] for r in catalogue.documents(spark, SF).collect()}
+    short = {i for i, t in texts.items() if t is not None and len(t) < 600}
+    spaced = {r["id"]: (r["words"], r["digest"]) for r in catalogue.q_document_ignore_space(spark, SF).collect()}
+    jsons = {r["id"]: (r["bytes"], r["digest"]) for r in catalogue.q_document_json(spark, SF).collect()}
+    assert set(spaced) == set(jsons) == set(texts)
+    d = latin()
+    for i in short:
+        t = texts[i]
+        place = lambda n: len(t[:n].encode())  # noqa: B023, E731
+        found = naive.tokenize(d, t, ignore_space=True)
+        said = ",".join(f"{place(s)}-{place(e)}-{w}" for s, e, w, _ in found)
+        assert spaced[i] == (len(found), hashlib.md5(said.encode()).hexdigest())
+        objects = [
+            {"surface": t[s:e], "feature": d.feature(w), "start": place(s), "end": place(e), "startChar": s, "endChar": e, "wordId": w, "totalCost": c, "unknown": w >= 1 << 31}
+            for s, e, w, c in naive.tokenize(d, t)
+        ]
+        said = json.dumps(objects, ensure_ascii=False, separators=(",", ":")).encode()
+        assert jsons[i] == (len(said), hashlib.md5(said).hexdigest())

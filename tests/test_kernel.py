@@ -5,6 +5,7 @@ import pytest
 
 from seglattice.operators.kernel import Kernel, compile_dictionary
 from seglattice.operators.tokenizer import byte_offsets
+from seglattice.plans.latin import latin
 from seglattice.schema import UNKNOWN_BASE, DictionaryError
 from seglattice.sources.dictionary import Dictionary
 
@@ -145,3 +146,15 @@ def test_a_full_memory_starts_again(monkeypatch, limit):
         text = f"東京{i} 京都{i % 7}に"
         assert kernel.tokenize(text) == naive.tokenize(COMPAT, text)
         assert kernel.count(text) == len(kernel.tokenize(text))
+
+
+def test_memory_is_bounded_inside_a_text(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("theofaé1.") for _ in range(rng.randrange(1, 9))) for _ in range(3000))
+    plain = Kernel(compile_dictionary(latin()))
+    want = plain.tokenize(text), plain.count(text)
+    monkeypatch.setattr("seglattice.operators.kernel.MEMO_PIECES", 40)
+    monkeypatch.setattr("seglattice.operators.kernel.MEMO_FRONTS", 25)
+    small = Kernel(compile_dictionary(latin()))
+    assert (small.tokenize(text), small.count(text)) == want
+    assert len(small.memo) <= 41 and len(small.older) <= 41 and len(small.front_list) <= 26
