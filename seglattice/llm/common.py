@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow kernel works on at a time; bounds its Python objects.
@@ -71,6 +72,31 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     yield texts.slice(start)
 
 
+#: Bits of the filter below: 4 MB, however many numbers it holds.
+FILTER_BITS = 1 << 25
+
+
+def number_filter(numbers: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """Whether a number may be among those of a table of one bigint column: a Bloom filter of one hash and a fixed size.
+
+    It says yes for all of them and for others as far as it is full; so it spares wide rows a shuffle where few are
+    wanted, and changes no result of the join that follows. At most bits / 64 numbers reach the driver.
+    """
+    placed = numbers.select(F.pmod(F.col(numbers.columns[0]), F.lit(bits)).alias("place"))
+    words = placed.groupBy((F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    table, found = np.zeros(bits // 64, np.int64), words.toArrow()
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = numbers.sparkSession.sparkContext.broadcast(table)
+
+    def among(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for batch in columns:
+            at = batch.to_numpy(zero_copy_only=False) % bits
+            yield pa.array((own[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return F.arrow_udf(among, "boolean")
+
+
 def crc_mod(id_column, modulus: int):
     """crc32 of the id as text, modulo: the contract's split of labelled rows."""
     return F.crc32(id_column.cast("string").cast("binary")) % modulus

@@ -17,6 +17,7 @@ Words and short texts are those of the fingerprint; a text without words has the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    whole = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in whole), np.uint64, len(whole)))
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    # hashes one by one: no shingle outlives its hash, however long the text
+    hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)), repeat(SEED))
+    return np.unique(np.fromiter(hashes, np.uint64, len(words) - width + 1))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, quoted
+from .common import fresh, materialize, number_filter, quoted
 from .graph import components, join_hot
 from .jaccard import shingle_sets, similar, sketch
 
@@ -118,13 +118,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labels = components(edges)
     known = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("first", F.coalesce("label", "fp").alias("label"))
     kept = materialize(known.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias(name), F.col("first.body").alias(body)), "kept")
-    # always a shuffle by id and text: they are spread evenly, and what is kept is no small table
+    # rows that are surely kept, and alone, need no join; the others are shuffled by id and text, never broadcast
+    counts = prints.groupBy("id", "body").agg(F.count("*").alias("n"))
+    chosen = kept.withColumn("chosen", F.lit(True))
+    state = counts.join(chosen.hint("shuffle_hash"), counts["id"].eqNullSafe(chosen[name]) & (counts["body"] == chosen[body]), "left").select("id", "body", "n", "chosen")
+    state = materialize(state.where("chosen IS NULL OR n > 1"), "doubtful")
+    doubtful = number_filter(state.select(F.xxhash64("id", "body")))(F.xxhash64(F.col(quoted(id_col)), F.xxhash64(text)))
     same = F.col(quoted(id_col)).eqNullSafe(F.col(name)) & (F.col(text_hash) == F.col(body))
-    out = docs.withColumn(text_hash, F.xxhash64(text)).join(kept.hint("shuffle_hash"), same, "left_semi")
-    copies = prints.groupBy("id", "body").agg(F.count("*").alias("n")).where("n > 1").select("id", "body")
-    again = copies.join(kept, copies["id"].eqNullSafe(kept[name]) & (copies["body"] == kept[body]), "left_semi")
-    # copies of a kept row: one stays
-    return (out if again.isEmpty() else out.dropDuplicates([id_col, text_hash])).select(*map(quoted, docs.columns))
+    out = docs.where(doubtful).withColumn(text_hash, F.xxhash64(text)).join(kept.hint("shuffle_hash"), same, "left_semi")
+    if not state.where("chosen").isEmpty():  # copies of a kept row: one stays
+        out = out.dropDuplicates([id_col, text_hash])
+    columns = list(map(quoted, docs.columns))
+    return docs.where(~doubtful).select(*columns).unionByName(out.select(*columns))
 
 
 def _similar_prints(docs: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -135,7 +140,10 @@ def _similar_prints(docs: DataFrame, prints: DataFrame, width: int, similarity:
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The sets of some keys, each from one row of docs."""
         at = keys.join(wanted, "key", "left_semi").select("key", F.col("id").alias("_id"), F.col("body").alias("_body"))
-        held = docs.withColumn("body", F.xxhash64("text")).join(at.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
+        at = materialize(at, "first")
+        among = number_filter(at.select(F.xxhash64("_id", "_body")))
+        some = docs.where(among(F.xxhash64("id", F.xxhash64("text"))))
+        held = some.withColumn("body", F.xxhash64("text")).join(at.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
         sets = materialize(held.select("key", shingle_sets(F.col("text"), width).alias("own")), "sets")
         return sets if sets.count() == wanted.count() else materialize(sets.dropDuplicates(["key"]), "sets")
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seglattice.llm.common import crc_mod, fresh, materialize, quoted, release, shared_dir, slices
+from seglattice.llm.common import crc_mod, fresh, materialize, number_filter, quoted, release, shared_dir, slices
 
 
 def test_tables_are_written_and_released(spark):
@@ -45,3 +45,14 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
         shared_dir(session("spark://host:7077"))
     own = session("local[2]")
     assert shared_dir(own).startswith("file:///") and shared_dir(own) == shared_dir(own)
+
+
+def test_number_filter_misses_nothing(spark):
+    numbers = [-(1 << 63), (1 << 63) - 1, -1, 0, 1, 63, 64, *range(-5000, 5000, 7)]
+    wanted = spark.createDataFrame([(n,) for n in numbers], "n bigint")
+    others = spark.range(100_000).select((F.xxhash64("id")).alias("n"))
+    for bits in (64, 1 << 20):
+        among = number_filter(wanted, bits)
+        assert wanted.where(among(F.col("n"))).count() == len(numbers)
+    assert others.where(among(F.col("n"))).count() < 1000
+    assert others.where(number_filter(wanted.limit(0), 1 << 10)(F.col("n"))).count() == 0
