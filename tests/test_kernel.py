@@ -37,6 +37,9 @@ def surfaces(d, text, **options):
     return [w[0] for w in words(d, text, **options)]
 
 
+# Fixed values, down to test_grouping_limit: golden segmentations, costs and features of the dictionaries in resources.
+
+
 def test_compound_words():
     got = words(MINIMAL, "本とカレー")
     assert [(w[0], w[1], w[2], w[7]) for w in got] == [("本と", 0, 6, 1), ("カレー", 6, 15, 11)]
