@@ -6,9 +6,9 @@ them, so its prefix is one: the rarest, by counts over all documents. Documents
 prefixes only; each match fixes where the window must begin (positional bound) and end (length bound) inside the
 document, and then all words are compared. Words inside any verified occurrence are hit.
 
-The index of the items is broadcast in blocks of BLOCK_BYTES of item text. One block is the usual case and one pass;
-more blocks take one pass each, with the state of the documents written between passes, so that neither broadcast nor
-memory grows with the benchmark.
+The index of the items is broadcast in blocks of BLOCK_BYTES of item text. One block is the usual case; more blocks are
+searched one after another, each writes what it hits (row, spans, items), and the hits are joined to the documents at
+the end, so that neither broadcast nor memory grows with the benchmark and texts are written once.
 
 Defined results: null and wordless texts have no words and hit nothing; null or wordless items match nothing; an item
 with a null id counts and shows as an empty string; equal item ids count once; empty tables give no hits or no rows;
@@ -19,14 +19,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, quoted, slices
+from .common import fresh, materialize, number_filter, quoted, slices
 
 WINDOW, SHINGLE = 10, 3
 BLOCK_BYTES = 16 << 20
@@ -184,21 +185,24 @@ def found_in(batch: pa.Array, index: Items) -> list[tuple[int, list[tuple[int, i
 def search_udf(index):
     """index: a broadcast of Items."""
 
-    def search(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, before in columns:
-            at = 0
+    def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
             for piece in slices(texts):
-                out, earlier = [], before.slice(at, len(piece)).to_pylist()
-                at += len(piece)
-                for (n, spans, items), old in zip(found_in(piece, index.value), earlier, strict=True):
-                    if old:
-                        spans, items = merge([*spans, *((s["a"], s["b"]) for s in old["spans"])]), items | set(old["items"])
-                    out.append({"n_words": n, "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)})
+                out = [{"n_words": n, "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)} for n, spans, items in found_in(piece, index.value)]
                 yield pa.array(out, _ARROW)
 
     return F.arrow_udf(search, FOUND)
 
 
+def merge_udf(spans: Column) -> Column:
+    def merged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in columns:
+            own = [merge([(x["a"], x["b"]) for x in row]) for row in batch.to_pylist()]
+            yield pa.array([[{"a": a, "b": b} for a, b in row] for row in own], _ARROW.field("spans").type)
+
+    return F.arrow_udf(merged, "array<struct<a:bigint,b:bigint>>")(spans)
+
+
 def count_kernel(index):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -225,21 +229,37 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "found"
 ) -> DataFrame:
     """docs with a column `name`: n_words, spans of hit words (merged, from a up to b) and the ids of the items found."""
-    spark = docs.sparkSession
-    out, done = docs.withColumn(name, F.lit(None).cast(FOUND)), 0
-    texts = docs.select(F.col(quoted(text_col)))
-    for rows in blocks_of(benchmark, item_id_col, item_text_col, block_bytes):
+    spark, blocks = docs.sparkSession, blocks_of(benchmark, item_id_col, item_text_col, block_bytes)
+    text = F.col(quoted(text_col))
+
+    def search(df: DataFrame, rows: list[tuple[str, str | None]], into: str) -> DataFrame:
         index = Items(rows, window)
         counts = np.zeros(len(index.shingles), np.int64)
         if len(counts):
-            seen = texts.mapInArrow(count_kernel(spark.sparkContext.broadcast(index)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+            seen = df.select(text).mapInArrow(count_kernel(spark.sparkContext.broadcast(index)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
             for r in seen.collect():  # at most one row for each shingle of the block
                 counts[r["shingle"]] = r["n"]
-        if done:
-            out = materialize(out, "decontam")
-        out = out.withColumn(name, search_udf(spark.sparkContext.broadcast(index.weigh(counts)))(F.col(quoted(text_col)), F.col(name)))
-        done += 1
-    return out
+        return df.withColumn(into, search_udf(spark.sparkContext.broadcast(index.weigh(counts)))(text))
+
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return search(docs, first, name)
+    # more blocks: each gives the rows that it hits, and only their spans and items are written
+    row, mark = fresh(docs, "row"), fresh(docs, "hits")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontam")
+    hits = []
+    for rows in chain([first, second], blocks):
+        found = search(keyed.select(row, text), rows, mark).where(F.size(F.col(mark)["spans"]) > 0)
+        hits.append(materialize(found.select(row, F.col(mark)["spans"].alias("spans"), F.col(mark)["items"].alias("items")), "hits"))
+    together = reduce(DataFrame.unionByName, hits).groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    together = materialize(together.select(row, merge_udf(F.col("spans")).alias("spans"), "items"), "hits")
+    counted = search(keyed, [], name)  # no items: the numbers of words
+    maybe = number_filter(together.select(row))(F.col(row))
+    joined_ = counted.where(maybe).join(together, row, "left")
+    whole = F.when(F.col("spans").isNull(), F.col(name)).otherwise(F.struct(F.col(name)["n_words"].alias("n_words"), "spans", "items"))
+    columns = list(map(quoted, docs.columns))
+    return counted.where(~maybe).select(*columns, name).unionByName(joined_.select(*columns, whole.alias(name)))
 
 
 def n_hit(found: Column) -> Column:

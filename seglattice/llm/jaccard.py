@@ -69,18 +69,19 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: Column, width: int) -> Column:
-    """The key of a text's set and its bands."""
+    """The key of a text's set, its size and its bands."""
 
     def sketches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            keys, found = np.zeros(len(batch), np.uint64), np.zeros((len(batch), BANDS), np.uint64)
+            keys, found, sizes = np.zeros(len(batch), np.uint64), np.zeros((len(batch), BANDS), np.uint64), np.zeros(len(batch), np.int32)
             for i, x in enumerate(batch):
                 own = shingles(x.as_py(), width)
+                sizes[i] = len(own)
                 keys[i], found[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED), bands(own)
             listed = pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, np.int32), found.reshape(-1).view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), listed], ["key", "bands"])
+            yield pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(sizes), listed], ["key", "shingles", "bands"])
 
-    return F.arrow_udf(sketches, "struct<key:bigint,bands:array<bigint>>")(text)
+    return F.arrow_udf(sketches, "struct<key:bigint,shingles:int,bands:array<bigint>>")(text)
 
 
 def shingle_sets(text: Column, width: int) -> Column:
@@ -141,21 +142,23 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
 
 
 def similar(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Edges (a, b) between keys; keys: (key, bands), distinct; sets_of: from some keys to their sets, (key, own)."""
-    members = keys.select("key", F.explode("bands").alias("band"))
+    """Edges (a, b) between keys; keys: (key, shingles, bands), distinct; sets_of: from some keys to their sets, (key, own)."""
+    members = keys.select("key", "shingles", F.explode("bands").alias("band"))
     buckets = materialize(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = materialize(join_hot(members, buckets.withColumn("size", F.col("n")), ["band"], "n", keys.count() * BANDS), "members")
     sets = sets_of(materialize(shared.select("key").distinct(), "wanted"))
     small, large = shared.where(F.col("size") <= PAIRS), shared.where(F.col("size") > PAIRS)
-    pairs = small.select("band", F.col("key").alias("a")).join(small.select("band", F.col("key").alias("b")), "band").where("a < b").select("a", "b")
+    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
+    pairs = small.select("band", F.col("key").alias("a"), F.col("shingles").alias("m")).join(small.select("band", F.col("key").alias("b"), F.col("shingles").alias("n")), "band")
+    pairs = pairs.where((F.col("a") < F.col("b")) & near(F.col("m"), F.col("n"))).select("a", "b")
     if large.isEmpty():
         return _verified(pairs, sets, similarity)
     # the originals of large buckets
     reach = large.groupBy("key").agg(F.sum("size").alias("reach"))
     large = materialize(large.join(reach, "key"), "large")
-    sizes = large.groupBy("band").agg(F.max("size").alias("n"), F.max(F.struct("reach", "key"))["key"].alias("pivot"))
-    met = join_hot(large.select("band", "key"), materialize(sizes, "pivots"), ["band"], "n", large.count())
-    edges = _verified(pairs.unionByName(met.select(F.col("key").alias("a"), F.col("pivot").alias("b"))), sets, similarity)
+    sizes = large.groupBy("band").agg(F.max("size").alias("n"), F.max(F.struct("reach", "key", "shingles")).alias("pivot"))
+    met = join_hot(large.select("band", "key", "shingles"), materialize(sizes, "pivots"), ["band"], "n", large.count())
+    edges = _verified(pairs.unionByName(met.where(near(F.col("shingles"), F.col("pivot.shingles"))).select(F.col("key").alias("a"), F.col("pivot.key").alias("b"))), sets, similarity)
     # buckets that are not one component yet
     labels = components(edges)
     live = large.join(labels, large["key"] == labels["node"], "left").select("band", "key", F.coalesce("label", "key").alias("label"))

@@ -109,7 +109,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     name, body, text_hash = fresh(docs, "id"), fresh(docs, "body"), fresh(docs, "text_hash")
     text = F.col(quoted(text_col))
     prints = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("body"), simhash(text).alias("fp"), *([sketch(text, width).alias("s")] if width else []))
-    prints = materialize(prints.select("id", "body", "fp", *(["s.key", "s.bands"] if width else [])), "prints")
+    prints = materialize(prints.select("id", "body", "fp", *(["s.key", "s.shingles", "s.bands"] if width else [])), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first")
     nodes = materialize(prints.groupBy("fp").agg(first), "nodes")
     edges = links(nodes.select("fp"))
@@ -135,7 +135,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _similar_prints(docs: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (a, b) between fingerprints of texts with similar sets of shingles; docs: (id, text)."""
     first = F.min(F.struct("id", "body", "fp")).alias("first")
-    keys = materialize(prints.groupBy("key").agg(first, F.any_value("bands").alias("bands")).select("key", "bands", "first.*"), "keys")
+    keys = materialize(prints.groupBy("key").agg(first, F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands")).select("key", "shingles", "bands", "first.*"), "keys")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The sets of some keys, each from one row of docs."""
@@ -148,7 +148,7 @@ def _similar_prints(docs: DataFrame, prints: DataFrame, width: int, similarity:
         return sets if sets.count() == wanted.count() else materialize(sets.dropDuplicates(["key"]), "sets")
 
     print_of = keys.select("key", "fp")
-    found = similar(keys.select("key", "bands"), sets_of, similarity)
+    found = similar(keys.select("key", "shingles", "bands"), sets_of, similarity)
     found = found.join(print_of.withColumnsRenamed({"key": "a", "fp": "x"}), "a").join(print_of.withColumnsRenamed({"key": "b", "fp": "y"}), "b").select("x", "y")
     # sets may be equal where fingerprints, which count repeated shingles, are not
     alike = prints.select("key", F.col("fp").alias("y")).distinct().join(print_of.withColumnRenamed("fp", "x"), "key").select("x", "y")
