@@ -38,7 +38,7 @@ from .common import materialize, slices
 #: Words of the lexicon; the most frequent of the whole corpus.
 LEXICON_WORDS = 50_000
 #: Words that an encoder remembers in each of two generations.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Words above this many bytes merge through a heap.
 LONG_WORD = 48
 #: The rank of a pair that does not merge.

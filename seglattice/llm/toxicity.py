@@ -65,7 +65,7 @@ TOP, HELD = 3, (-0.5, 7.0)
 #: A mark behind every unit, so that an insult's stem is not the insult.
 END = "\n"
 #: Units that a worker remembers in each of two generations.
-MEMO_UNITS = 100_000
+MEMO_UNITS = 60_000
 #: Numbers that are computed together.
 CHUNK = 1_000_000
 #: Codes of subsequences up to which a table of all of them is kept.
