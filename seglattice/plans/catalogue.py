@@ -316,7 +316,11 @@ def q_unknown_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(F.col("is_unknown").cast("int")).alias("unknown"), F.count("*").alias("words"))
 
 
-_LINES = f"SELECT row_number() OVER () AS id, doc, t FROM (SELECT d.id AS doc, unnest(string_split(regexp_replace(d.t, '\\r?\\n', chr(10), 'g'), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(d.t, '\\r?\\n', chr(10), 'g'), chr(10)), 1) AS line, len(string_split(regexp_replace(d.t, '\\r?\\n', chr(10), 'g'), chr(10))) AS lines FROM ({DOCUMENTS}) d) WHERE line < lines OR t <> ''"
+_SPLIT = "string_split(regexp_replace(d.t, '\\r?\\n', chr(10), 'g'), chr(10))"
+_LINES = (
+    f"SELECT row_number() OVER () AS id, doc, t FROM (SELECT d.id AS doc, unnest({_SPLIT}) AS t, generate_subscripts({_SPLIT}, 1) AS line, "
+    f"len({_SPLIT}) AS lines FROM ({DOCUMENTS}) d) WHERE line < lines OR t <> ''"
+)
 
 
 @query(
