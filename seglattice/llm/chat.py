@@ -8,8 +8,9 @@ the order start, system, user, assistant wins, between parts (below) first and t
 
 The cost of any run of turns is a small min-plus matrix between states, so a conversation is worked on in parts of at
 most PART turn numbers, and of about twice as many rows where turn numbers repeat: parts give matrices, the walk over a
-conversation's matrices gives each part its states, and parts render by themselves. No task holds more than one part of
-a conversation, however long.
+conversation's matrices gives each part its states, and parts render by themselves. No task holds the texts of more than
+one part of a conversation, however long; the walk holds its matrices, 16 numbers for each part. Between repairs of
+equal cost the choice depends on where parts are cut, so on `part`.
 
 Defined results: turns are ordered by number, null ones just before 0; those of one number by a hash of role and text, then role and
 text; repeated rows are turns of their own (equal ones stay in one part); null texts are empty; roles are compared in lower case without outer spaces;
