@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import csv
 import gzip
+import hashlib
 import io
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -213,6 +214,19 @@ class Dictionary:
         return cls.from_tables({n: spark.read.parquet(f"{path}/{n}") for n in ("lexicon", "user", "connection", "category", "range", "unknown")})
 
 
+def prepare_bundle(files: Mapping[str, bytes], encoding: str = "EUC-JP") -> dict[str, bytes]:
+    """A dictionary's source files as gzipped UTF-8: its .csv files, in the order of their names, as one lex.csv.gz, each .def file,
+    and SHA256SUMS of the plain texts. Equal sources give equal bytes.
+    """
+    plain = {name: data.decode(encoding) for name, data in sorted(files.items()) if name.endswith(".def")}
+    parts = [data.decode(encoding) for name, data in sorted(files.items()) if name.endswith(".csv")]
+    if not parts:
+        raise DictionaryError("there is no lexicon file")
+    plain["lex.csv"] = "".join(p if p.endswith("\n") or not p else p + "\n" for p in parts)
+    sums = "".join(f"{hashlib.sha256(text.encode()).hexdigest()}  {name}\n" for name, text in sorted(plain.items()))
+    return {**{f"{name}.gz": gzip.compress(text.encode(), mtime=0) for name, text in plain.items()}, "SHA256SUMS": sums.encode()}
+
+
 # The built-in dictionary.
 BUILTIN_LEX = "本,0,0,10,名詞-普通名詞-一般,ホン\nと,0,0,1,助詞-格助詞,ト\nカレー,0,0,10,名詞-普通名詞-一般,カレー\n"
 BUILTIN_CHAR = "DEFAULT 1 0 1\nSPACE 1 1 24\nALPHA 1 1 24\nKATAKANA 0 1 24\nEMOJI 1 1 1\n0x0020 SPACE\n0x0041..0x005A ALPHA\n0x0061..0x007A ALPHA\n0x30A0..0x30FF KATAKANA\n0x1F300..0x1FAFF EMOJI\n"

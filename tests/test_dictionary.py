@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import struct
 from dataclasses import replace
 from pathlib import Path
@@ -8,7 +9,7 @@ import pytest
 from seglattice.operators.kernel import Kernel, compile_dictionary
 from seglattice.schema import OUTSIDE_COST, DictionaryError
 from seglattice.sources.binary import VERSION_2, read_dictionary, write_dictionary
-from seglattice.sources.dictionary import Dictionary, invalid_ids, lines, parse_range
+from seglattice.sources.dictionary import Dictionary, invalid_ids, lines, parse_range, prepare_bundle
 
 from .test_kernel import COMPAT, HERE, MINIMAL, SMALL, USER, quad
 
@@ -121,3 +122,26 @@ def test_several_lexicon_files_in_another_encoding(spark, tmp_path):
 def test_lines():
     assert lines("a\r\n\nb\x0bc\n") == ["a", "", "b\x0bc"] and lines("") == [] and lines("a") == ["a"]
     assert Path(HERE, "minimal.dict").exists() and quad("small").matrix.right_size == 1
+
+
+def test_bundles_are_the_same_each_time(spark, tmp_path):
+    files = {"b.csv": "と,0,0,1,助詞".encode("EUC-JP"), "a.csv": "本,0,0,10,名詞\n".encode("EUC-JP"), "matrix.def": b"1 1\n0 0 0\n", "char.def": b"DEFAULT 1 0 1\n", "unk.def": b"DEFAULT,0,0,9,*\n", "README": b"x"}
+    made = prepare_bundle(files)
+    assert made == prepare_bundle(dict(reversed(files.items()))) and set(made) == {"lex.csv.gz", "matrix.def.gz", "char.def.gz", "unk.def.gz", "SHA256SUMS"}
+    assert gzip.decompress(made["lex.csv.gz"]).decode() == "本,0,0,10,名詞\nと,0,0,1,助詞\n"
+    sums = dict(reversed(line.split("  ")) for line in made["SHA256SUMS"].decode().splitlines())
+    assert sums == {n.removesuffix(".gz"): hashlib.sha256(gzip.decompress(d)).hexdigest() for n, d in made.items() if n.endswith(".gz")}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    d = Dictionary.from_mecab(spark, f"file://{tmp_path}", lex="lex.csv.gz", matrix="matrix.def.gz", char="char.def.gz", unk="unk.def.gz")
+    assert [e.surface for e in d.entries] == ["本", "と"]
+    with pytest.raises(DictionaryError):
+        prepare_bundle({"matrix.def": b""})
+
+
+def test_binary_files_by_path(spark, tmp_path):
+    (tmp_path / "d.bin").write_bytes(write_dictionary(COMPAT))
+    assert same(Dictionary.from_binary(spark, f"file://{tmp_path}/d.bin"), COMPAT)
+    (tmp_path / "e.bin").write_bytes(b"x")
+    with pytest.raises(DictionaryError):
+        Dictionary.from_binary(spark, f"file://{tmp_path}/*.bin")
