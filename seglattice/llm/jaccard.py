@@ -2,7 +2,7 @@
 
 Texts with equal sets share a key. Candidates come from MinHash: BANDS bands of ROWS minima each, so a pair of
 similarity s shares no band with probability (1 - s^ROWS)^BANDS, 5e-8 at 0.8; every candidate is then held against the
-exact sets of shingle hashes, so no pair below the similarity is linked.
+whole sets of shingle hashes (32 bits each), so no pair below the similarity is linked.
 
 Within a band, up to PAIRS members are compared pair by pair. In a larger bucket the member that shares the most bands
 with others (the original of a group of copies) is compared with all others; most groups are one component then. What
@@ -85,13 +85,15 @@ def sketch(text: Column, width: int) -> Column:
 
 
 def shingle_sets(text: Column, width: int) -> Column:
+    """Half of each hash, which is enough to tell the shingles of a few texts apart: two agree by chance once in 2^32."""
+
     def sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            found = [shingles(x.as_py(), width).view(np.int64) for x in batch]
+            found = [np.unique(shingles(x.as_py(), width).astype(np.uint32)).view(np.int32) for x in batch]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *found]))
+            yield pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *found]))
 
-    return F.arrow_udf(sets, "array<bigint>")(text)
+    return F.arrow_udf(sets, "array<int>")(text)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
