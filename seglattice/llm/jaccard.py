@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -118,13 +118,15 @@ def rare_shingles(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     A pair of sets of the similarity shares at least one of them.
     """
     held = materialize(sets.join(members, "key").select("key", "label", F.size("own").alias("size"), F.explode("own").alias("token")), "shingles")
-    counts = materialize(held.groupBy("token").agg(F.count("*").alias("n")), "rarity")
+    counts = materialize(held.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "rarity")
     ranked = join_hot(held, counts.withColumn("df", F.col("n")), ["token"], "n", held.count())
     size = F.col("size")
     upto = size - F.ceil(size * similarity - 1e-6).cast("int") + 1
-    rarest = ranked.groupBy("key", "label", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "token"))), F.lit(1), upto).alias("own"))
-    each = rarest.select("key", "label", "size", F.posexplode("own").alias("place", "t"))
-    return each.select("t.token", F.col("t.df").alias("n"), "key", "label", "place", "size").where("n > 1")
+    # shingles of one member only come first of all, so places are counted from the end and those need no sorting;
+    # rows are sorted, which can spill, and no list of a whole set is held
+    last = Window.partitionBy("key", "label").orderBy(F.desc("df"), F.desc("token"))
+    placed = ranked.withColumn("place", size - F.row_number().over(last)).where(F.col("place") < upto)
+    return placed.select("token", F.col("df").alias("n"), "key", "label", "place", "size")
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
